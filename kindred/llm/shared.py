@@ -1,0 +1,37 @@
+"""Tables in the folder that all executors share (spark.checkpoint.dir), which cut lineage and outlive a lost executor."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir. Where it is unset, a temporary folder in local mode, as in tests; an error on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.conf.set("spark.checkpoint.dir", folder := tempfile.mkdtemp(prefix="shared-"))
+    return folder
+
+
+class Shared:
+    """Written tables of one run of an operator."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """df, written and read back. Shuffle files that only it needed become garbage and are cleaned up."""
+        path = f"{self.root}/{name}"
+        df.write.option("compression", "zstd").parquet(path)
+        self.spark.sparkContext._jvm.System.gc()
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def dropped(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
