@@ -106,26 +106,28 @@ def distinct(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return k[new], several, inverse
 
 
-_SLICE = {"bucket": pa.int32(), "block": pa.int64(), "keys": pa.binary(), "several": pa.binary()}
+_SLICE = {"bucket": pa.int32(), "block": pa.int64(), "keys": pa.binary(), "several": pa.binary(), "counts": pa.binary()}
 _ANSWER = {"block": pa.int64(), "bucket": pa.int32(), "shared": pa.binary(), "names": pa.binary()}
 
 
-def shared_keys(state: DataFrame, keys_of: Callable[[dict], tuple[np.ndarray, np.ndarray]], buckets: int, named: bool = False) -> DataFrame:
+def shared_keys(state: DataFrame, keys_of: Callable[[dict], tuple[np.ndarray, np.ndarray]], buckets: int, give: str = "") -> DataFrame:
     """For each block of state, answers about keys_of(row): its keys, in any order, and the document of each.
 
-    A key is shared if it occurs in two or more documents of all blocks. named: shared keys also get names, in key order.
+    A key is shared if it occurs in two or more documents of all blocks. give: what is said of a shared key besides: "name",
+    its rank among the shared keys, or "count", its number of occurrences (a document's repeated keys count each time).
     """
     width = (1 << 64) // buckets + 1
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                keys, several, _ = distinct(*keys_of(row))
+                keys, several, inverse = distinct(*keys_of(row))
+                counts = np.minimum(np.bincount(inverse, minlength=len(keys)), (1 << 32) - 1).astype(np.uint32) if give == "count" else None
                 cut = np.searchsorted(keys, np.array([i * width for i in range(1, buckets)], np.uint64)) if buckets > 1 else []
                 cut = [0, *cut, len(keys)]
                 parts = [(i, lo, hi) for i, (lo, hi) in enumerate(zip(cut[:-1], cut[1:])) if hi > lo]
                 if parts:
-                    yield rows(_SLICE, bucket=[i for i, _, _ in parts], block=[row["block"]] * len(parts), keys=[keys[lo:hi].tobytes() for _, lo, hi in parts], several=[np.packbits(several[lo:hi]).tobytes() for _, lo, hi in parts])
+                    yield rows(_SLICE, bucket=[i for i, _, _ in parts], block=[row["block"]] * len(parts), keys=[keys[lo:hi].tobytes() for _, lo, hi in parts], several=[np.packbits(several[lo:hi]).tobytes() for _, lo, hi in parts], counts=[b"" if counts is None else pack(counts[lo:hi]) for _, lo, hi in parts])
 
     def merge(table: pa.Table) -> pa.Table:
         runs = [np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()]
@@ -141,12 +143,17 @@ def shared_keys(state: DataFrame, keys_of: Callable[[dict], tuple[np.ndarray, np
         shared[place[several[order]]] = True
         inverse = np.empty(len(keys), np.int64)
         inverse[order] = place
-        bits, name = shared[inverse], np.cumsum(shared).astype(np.uint32)[inverse] if named else None
+        bits = shared[inverse]
+        if give == "count":
+            counts = np.concatenate([unpack(x, np.uint32) for x in table["counts"].to_pylist()])
+            said = np.minimum(np.bincount(inverse, counts, len(shared)), (1 << 32) - 1).astype(np.uint32)[inverse]
+        elif give == "name":
+            said = np.cumsum(shared).astype(np.uint32)[inverse]
         ends = np.cumsum(sizes)
-        lists = [(bits[e - n : e], name[e - n : e] if named else None) for e, n in zip(ends, sizes)]
-        return pa.table({"block": table["block"], "bucket": table["bucket"], "shared": pa.array([np.packbits(b).tobytes() for b, _ in lists], pa.binary()), "names": pa.array([x[b].tobytes() if named else b"" for b, x in lists], pa.binary())})
+        lists = [(bits[e - n : e], said[e - n : e] if give else None) for e, n in zip(ends, sizes)]
+        return pa.table({"block": table["block"], "bucket": table["bucket"], "shared": pa.array([np.packbits(b).tobytes() for b, _ in lists], pa.binary()), "names": pa.array([x[b].tobytes() if give else b"" for b, x in lists], pa.binary())})
 
-    return state.mapInArrow(split, "bucket int, block bigint, keys binary, several binary").groupBy("bucket").applyInArrow(merge, ANSWER)
+    return state.mapInArrow(split, "bucket int, block bigint, keys binary, several binary, counts binary").groupBy("bucket").applyInArrow(merge, ANSWER)
 
 
 class Answers:
@@ -155,8 +162,8 @@ class Answers:
     def __init__(self, table: pa.Table, buckets: int):
         self.table, self.width = table, (1 << 64) // buckets + 1
 
-    def read(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """keys: sorted and distinct. Which are shared, and their names (0 for others)."""
+    def read(self, keys: np.ndarray, named: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """keys: sorted and distinct. Which are shared, and their names (if not named: counts); 0 for others."""
         shared, names = np.zeros(len(keys), bool), np.zeros(len(keys), np.uint64)
         for row in self.table.sort_by("bucket").to_pylist():
             lo = int(np.searchsorted(keys, np.uint64(row["bucket"] * self.width)))
@@ -164,7 +171,7 @@ class Answers:
             hi = len(keys) if top >= 1 << 64 else int(np.searchsorted(keys, np.uint64(top)))
             shared[lo:hi] = np.unpackbits(np.frombuffer(row["shared"], np.uint8), count=hi - lo).astype(bool)
             if row["names"]:
-                names[lo:hi][shared[lo:hi]] = (np.uint64(row["bucket"]) << np.uint64(32)) + np.frombuffer(row["names"], np.uint32)
+                names[lo:hi][shared[lo:hi]] = (np.uint64(row["bucket"] << 32) if named else np.uint64(0)) + np.frombuffer(row["names"], np.uint32)
         return shared, names
 
 

@@ -23,8 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..shared import Shared
 from .blocks import _STATE, STATE, Answers, Docs, answered, bucket_count, distinct, repeated_spans, shared_keys, state_keys, state_row, token_blocks, unpack, window_state
-from .shared import Shared
 from .words import mix, powers
 
 MIN_WORDS = 50
@@ -110,7 +110,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
         at, names = survivors(at, _triples(t[at], t[at + 1], t[at + 2]), docs_.doc[at], answers)
         return _next(row, at, names, 1, depth == 2) if depth > 1 else state_row(row, at, names)
 
-    state = work.written(answered(blocks, shared_keys(blocks, lambda row: _first(row, depth == 1), buckets, True), buckets, after_first), "level1")
+    state = work.written(answered(blocks, shared_keys(blocks, lambda row: _first(row, depth == 1), buckets, "name"), buckets, after_first), "level1")
     for level in range(2, depth + 1):
 
         def after(row: dict, answers: Answers, level: int = level):
@@ -118,7 +118,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
             at, names = survivors(np.cumsum(unpack(row["at"], np.uint32).astype(np.int64)), keys, doc, answers)
             return _next(row, at, names, level, depth == level + 1) if level < depth else state_row(row, at, names)
 
-        state = work.written(answered(state, shared_keys(state, state_keys, buckets, True), buckets, after), f"level{level}")
+        state = work.written(answered(state, shared_keys(state, state_keys, buckets, "name"), buckets, after), f"level{level}")
         work.dropped(f"level{level - 1}")
 
     def merged(left: dict, right: dict) -> dict:
