@@ -41,10 +41,10 @@ def signatures(hashes: np.ndarray, first: np.ndarray, coordinates: int, shingle:
     inside = np.arange(len(hashes)) + shingle <= first[doc + 1]
     short = np.flatnonzero((n > 0) & (n < shingle))
     for d in short:  # at most shingle - 1 words
-        x = np.uint64(len(hashes[first[d] : first[d + 1]]))
+        x = np.array([first[d + 1] - first[d]], np.uint64)
         for h in hashes[first[d] : first[d + 1]]:
-            x = mix(np.array([x * np.uint64(0x9E3779B97F4A7C15) + h], np.uint64))[0]
-        w[first[d]], inside[first[d]] = x, True
+            x = mix(x * np.uint64(0x9E3779B97F4A7C15) + h)
+        w[first[d]], inside[first[d]] = x[0], True
     x, d = w[inside], doc[inside]
     at = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
     multipliers = mix(np.arange(1, coordinates + 1, dtype=np.uint64)) | np.uint64(1)
