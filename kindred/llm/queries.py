@@ -1,4 +1,4 @@
-"""The llm operators as queries over the whole of their tables, with production parameters."""
+"""The llm operators as queries over the whole of their tables, with production parameters, and SQL for those that it can express."""
 
 from __future__ import annotations
 
@@ -6,24 +6,56 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import recompression, suffix_array
+from . import ann, exact, html_extract, minhash, mixing, packing, recompression, sharding, suffix_array, toxicity
 
 
-def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op4_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recompression.repeated_passages(_docs(spark, sf_dir))
+    return recompression.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(_table(spark, sf_dir, "documents"))
 
 
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_array.repeated_passages(_docs(spark, sf_dir))
+    return suffix_array.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shuffled(_table(spark, sf_dir, "documents"))
+
+
+def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_recompression, op8_suffix_array)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_minhash, op4_recompression, op5_html, op6_ann, op7_mixing, op8_suffix_array, op9_sharding, op10_exact)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_packing": packing.oracle(), "op7_mixing": mixing.ORACLE, "op10_exact": exact.ORACLE}
