@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import pack, unpack
 from .minhash import signatures
 from .words import fingerprint, spans, text_bytes, words
 
@@ -327,20 +328,29 @@ def _threshold(score: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, seed: int = SEED, **options) -> Model:
-    """train on at most `limit` labelled documents, half of them toxic at most, drawn by a hash of the identifier."""
+    """train on at most `limit` labelled documents, half of them toxic at most, drawn by a hash of the identifier.
+
+    One task gathers them and trains; only the model, whose size is fixed, reaches the driver.
+    """
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).alias("toxic"))
     known = known.withColumn("__h", F.xxhash64(F.lit(seed), "doc_id"))
     drawn = [known.where(x).orderBy("__h", "doc_id").limit(limit // 2) for x in ("toxic", "not toxic")]
     drawn = F.broadcast(drawn[0].union(drawn[1]).select("doc_id", "toxic"))  # `limit` rows at most
-    rows = docs.where("text is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(drawn, "doc_id").collect()
-    rows = sorted({(r["doc_id"], r["text"], r["toxic"]) for r in rows})
-    return train([r[1] for r in rows], [r[2] for r in rows], seed=seed, **options)
+    rows = docs.where("text is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(drawn, "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted({(r["doc_id"], r["text"], r["toxic"]) for b in batches for r in b.to_pylist()})
+        model = train([r[1] for r in found], [r[2] for r in found], seed=seed, **options)
+        yield pa.RecordBatch.from_arrays([pa.array([pack(model.weights)], pa.binary()), *(pa.array([x], pa.float64()) for x in (model.bias, model.threshold, model.decay))], names=["weights", "bias", "threshold", "decay"])
+
+    made = rows.repartition(1).mapInArrow(run, "weights binary, bias double, threshold double, decay double").collect()
+    return Model(unpack(bytes(made[0]["weights"]), np.float32), *made[0][1:]) if made else train([], [])
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of the documents with a word, null identifiers too."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # LETTERS**4 weights, 10 MB,, whatever the data
+    shared = spark.sparkContext.broadcast(model)  # LETTERS**4 weights, 10 MB, whatever the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
