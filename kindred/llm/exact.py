@@ -127,10 +127,11 @@ def without_duplicates(docs: DataFrame, fan: int = FAN, id_col: str = "doc_id",
     marked = docs.withColumn("__digest", digest(text_col)).withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
     mine = lambda x: x.select(F.col("digest").alias("__digest"), F.coalesce("doc_id", F.lit(NO_ID)).alias("__id")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    left = marked.join(mine(lost.where(~same)), ["__digest", "__id"], "left_anti")
+    # The list grows with the corpus: both sides are sorted by key at every size, and no size is the first to do so.
+    left = marked.join(mine(lost.where(~same)).hint("merge"), ["__digest", "__id"], "left_anti")
     twice = mine(lost.where(same)).withColumn("__twice", F.lit(True))
     if not twice.isEmpty():
-        left = left.join(twice, ["__digest", "__id"], "left")
+        left = left.join(twice.hint("merge"), ["__digest", "__id"], "left")
         left = left.where("__twice is null").union(left.where("__twice").dropDuplicates(["__digest", "__id"]))
     return left.select(*[F.col(f"`{c}`") for c in columns])
 
