@@ -22,7 +22,7 @@ from .words import windows, words
 
 BLOCK_WORDS = 1 << 20
 BUCKET_KEYS = 3 << 20
-BLOCK = "block bigint, n_words bigint, doc_ids binary, lengths binary, tokens binary"
+BLOCK = "block bigint, n_words bigint, doc_ids binary, lengths binary, vocabulary binary, tokens binary"
 ANSWER = "block bigint, bucket int, shared binary, names binary"
 
 
@@ -34,16 +34,44 @@ def unpack(b: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype)
 
 
+def _planes(a: np.ndarray) -> bytes:
+    """a, its numbers' first bytes before their second ones and so on, so that leading zeros compress to nothing."""
+    return pack(a.view(np.uint8).reshape(-1, a.itemsize).T)
+
+
+def _unplaned(b: bytes, dtype) -> np.ndarray:
+    return np.ascontiguousarray(unpack(b, np.uint8).reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys as their differences."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_sorted(b: bytes) -> np.ndarray:
+    return np.cumsum(_unplaned(b, np.uint64), dtype=np.uint64)
+
+
+def _pack_tokens(t: np.ndarray) -> tuple[bytes, bytes]:
+    """The distinct tokens, frequent ones first, and each token's place among them."""
+    u, inverse, n = np.unique(t, return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    rank = np.empty(len(u), np.uint32)
+    rank[order] = np.arange(len(u))
+    return pack(u[order]), _planes(rank[inverse])
+
+
 def rows(schema: dict[str, pa.DataType], **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[k], t) for k, t in schema.items()], names=list(schema))
 
 
-_BLOCK = {"block": pa.int64(), "n_words": pa.int64(), "doc_ids": pa.binary(), "lengths": pa.binary(), "tokens": pa.binary()}
+_BLOCK = {"block": pa.int64(), "n_words": pa.int64(), "doc_ids": pa.binary(), "lengths": pa.binary(), "vocabulary": pa.binary(), "tokens": pa.binary()}
 
 
 def _block(number: int, ids: list, lengths: list, tokens: list) -> pa.RecordBatch:
     n = np.concatenate(lengths)
-    return rows(_BLOCK, block=[number], n_words=[int(n.sum())], doc_ids=[pack(np.concatenate(ids))], lengths=[pack(n)], tokens=[pack(np.concatenate(tokens))])
+    vocabulary, places = _pack_tokens(np.concatenate(tokens))
+    return rows(_BLOCK, block=[number], n_words=[int(n.sum())], doc_ids=[pack(np.concatenate(ids))], lengths=[pack(n)], vocabulary=[vocabulary], tokens=[places])
 
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +107,8 @@ class Docs:
     """A block, unpacked: tokens, and of each token its document's place in the block and its own place in the document."""
 
     def __init__(self, row: dict):
-        self.ids, self.lengths, self.tokens = unpack(row["doc_ids"], np.int64), unpack(row["lengths"], np.int64), unpack(row["tokens"], np.uint64)
+        self.ids, self.lengths = unpack(row["doc_ids"], np.int64), unpack(row["lengths"], np.int64)
+        self.tokens = unpack(row["vocabulary"], np.uint64)[_unplaned(row["tokens"], np.uint32)]
         self.first = np.concatenate([[0], np.cumsum(self.lengths)])
         self.doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.lengths)
 
@@ -127,10 +156,10 @@ def shared_keys(state: DataFrame, keys_of: Callable[[dict], tuple[np.ndarray, np
                 cut = [0, *cut, len(keys)]
                 parts = [(i, lo, hi) for i, (lo, hi) in enumerate(zip(cut[:-1], cut[1:])) if hi > lo]
                 if parts:
-                    yield rows(_SLICE, bucket=[i for i, _, _ in parts], block=[row["block"]] * len(parts), keys=[keys[lo:hi].tobytes() for _, lo, hi in parts], several=[np.packbits(several[lo:hi]).tobytes() for _, lo, hi in parts], counts=[b"" if counts is None else pack(counts[lo:hi]) for _, lo, hi in parts])
+                    yield rows(_SLICE, bucket=[i for i, _, _ in parts], block=[row["block"]] * len(parts), keys=[pack_sorted(keys[lo:hi]) for _, lo, hi in parts], several=[np.packbits(several[lo:hi]).tobytes() for _, lo, hi in parts], counts=[b"" if counts is None else pack(counts[lo:hi]) for _, lo, hi in parts])
 
     def merge(table: pa.Table) -> pa.Table:
-        runs = [np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()]
+        runs = [unpack_sorted(x) for x in table["keys"].to_pylist()]
         sizes = np.array([len(x) for x in runs])
         several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(table["several"].to_pylist(), sizes)]).astype(bool)
         keys = np.concatenate(runs)
