@@ -45,7 +45,7 @@ def compress(symbols: np.ndarray, at: np.ndarray, doc: np.ndarray, rounds: int)
     """Rounds of pair compression. at: the run that each symbol begins with; doc: the document of each run."""
     p = powers(3)
     for r in range(rounds):
-        right = (mix(symbols + p[2] * np.uint64(r + 1)) >> np.uint64(63)).astype(bool)
+        right = (mix(symbols + p[2:3] * np.uint64(r + 1)) >> np.uint64(63)).astype(bool)
         joined = np.flatnonzero(~right[:-1] & right[1:] & (doc[at[:-1]] == doc[at[1:]])) if len(symbols) else np.zeros(0, np.int64)
         symbols = symbols.copy()
         symbols[joined] = mix(symbols[joined] * p[1] + symbols[joined + 1] * p[2] + np.uint64(1))
