@@ -1,9 +1,299 @@
-"""Queries over the driver's tables and the same in SQL."""
+"""Queries over the whole of the driver's tables and the same in SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from ..functions import json, text
+from ..operators import collections as C
+from ..operators import matcher as M
+from ..operators import pairs as P
+from ..operators import ranks, vectors
+
+STOPWORDS = ["the", "and", "of", "to", "in", "le", "la", "les", "des", "der", "die", "und", "el", "los", "que"]
+_Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _Q[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_Q)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_WORDS = ", ".join(f"'{w}'" for w in STOPWORDS)
+_UP, _LOW = text.UPPER, text.LOWER
+_TOKENS = rf"""tokens as (select doc_id, token from (select doc_id, unnest(string_split_regex(translate(text, '{_UP}', '{_LOW}'), '[\x09-\x0d\x20-\x40\x5b-\x60\x7b-\x7e]+')) as token from documents) where token <> '')"""
+_COUNTS = f"{_TOKENS}, counts as (select doc_id, token, count(*) as n from tokens group by all)"
+_VOCAB = f"""{_COUNTS}, vocab as (select token, row_number() over (order by token) - 1 as position, df, idf from (
+  select token, count(*) as df, ln(greatest((select count(*) from documents) // count(*), 1)) as idf from counts group by token) where idf <= {vectors.IDF_MAX})"""
+_VECS = f"""{_VOCAB}, vecs as (select doc_id, position, n / sum(n) over (partition by doc_id) * idf as x from counts join vocab using (token)),
+pairs as (select doc_id as spec1, doc_id + 1 as spec2, cast(doc_id % 3 = 0 as integer) as y from documents where doc_id + 1 in (select doc_id from documents)),
+feats as (select spec1, spec2, position, abs(sum(x)) as x from (
+  select spec1, spec2, position, x from pairs join vecs on doc_id = spec1 union all select spec1, spec2, position, -x from pairs join vecs on doc_id = spec2) group by all having sum(x) <> 0)"""
+_SCORED = f"""{_VECS}, scored as (select spec1, spec2, y, 1 / (1 + exp(-(coalesce(s, 0) + 0.1))) as p
+  from pairs left join (select spec1, spec2, sum((position % 7 - 3) * x) as s from feats group by all) using (spec1, spec2))"""
+_CLIQUES = "cliques as (select p_partkey as spec_id, min(p_partkey) over (partition by p_name, p_brand, p_type) as root_id from part)"
+_ROOTS = f"""{_CLIQUES}, differ as (select a.p_partkey as s1, b.p_partkey as s2 from part a join part b on b.p_partkey = a.p_partkey + 1 where a.p_size < b.p_size),
+rooted as (select s1, s2, x.root_id as r1, y.root_id as r2 from differ join cliques x on x.spec_id = s1 join cliques y on y.spec_id = s2),
+roots as (select distinct least(r1, r2) as root_a, greatest(r1, r2) as root_b from rooted where r1 <> r2)"""
+_SIMILAR = "alike as (select a.spec_id as spec1, b.spec_id as spec2, 1 as relation from cliques a join cliques b on a.root_id = b.root_id and a.spec_id < b.spec_id)"
+_DIFFERENT = "different as (select least(a.spec_id, b.spec_id) as spec1, greatest(a.spec_id, b.spec_id) as spec2, 0 as relation from roots join cliques a on a.root_id = root_a join cliques b on b.root_id = root_b)"
+
+
+def _counts(spark, sf_dir):
+    return vectors.counts(vectors.token_rows(_t(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
+def _vocabulary(spark, sf_dir, counted=None):
+    n = _t(spark, sf_dir, "documents").count()
+    return vectors.vocabulary(vectors.document_frequency(counted if counted is not None else _counts(spark, sf_dir)), n)
+
+
+def _vectors(spark, sf_dir):
+    counted = _counts(spark, sf_dir)
+    return vectors.vectors(counted, _vocabulary(spark, sf_dir, counted))
+
+
+def _doc_pairs(spark, sf_dir):
+    ids = _t(spark, sf_dir, "documents").select("doc_id")
+    following = ids.select((F.col("doc_id") - 1).alias("doc_id"))
+    return ids.join(following, "doc_id", "left_semi").select(F.col("doc_id").alias("spec1"), (F.col("doc_id") + 1).alias("spec2"), (F.col("doc_id") % 3 == 0).cast("int").alias("relation"))
+
+
+def _features(spark, sf_dir):
+    return vectors.pair_features(_doc_pairs(spark, sf_dir), _vectors(spark, sf_dir))
+
+
+def _scored(spark, sf_dir, features=None):
+    pairs = _doc_pairs(spark, sf_dir)
+    weights = _vocabulary(spark, sf_dir).select("position", (F.col("position") % 7 - 3).cast("double").alias("w"))
+    p = M.linear_scores(features if features is not None else _features(spark, sf_dir), weights, pairs, 0.1)
+    return p.join(pairs.withColumnRenamed("relation", "y"), ["spec1", "spec2"])
+
+
+def _part_labels(spark, sf_dir):
+    """Parts of one name, brand and type are chained as similar; neighbours of rising size are different."""
+    part = _t(spark, sf_dir, "part")
+    same = part.groupBy("p_name", "p_brand", "p_type").agg(F.sort_array(F.collect_list("p_partkey")).alias("k"))
+    chain = same.select(F.explode(F.arrays_zip(F.expr("slice(k, 1, size(k) - 1)").alias("a"), F.expr("slice(k, 2, size(k))").alias("b"))).alias("e")).select(F.col("e.a").alias("spec1"), F.col("e.b").alias("spec2"), F.lit(1).alias("relation"))
+    a, b = part.select(F.col("p_partkey").alias("spec1"), F.col("p_size").alias("s1")), part.select((F.col("p_partkey") - 1).alias("spec1"), F.col("p_partkey").alias("spec2"), F.col("p_size").alias("s2"))
+    return chain.union(a.join(b, "spec1").where("s1 < s2").select("spec1", "spec2", F.lit(0).alias("relation")))
+
+
+def _members(spark, sf_dir):
+    return P.cliques(_t(spark, sf_dir, "part").select(F.col("p_partkey").alias("spec_id")), _part_labels(spark, sf_dir))
+
+
+@query(f"with {_COUNTS} select doc_id as spec_id, token, n from counts")
+def token_counts(spark, sf_dir):
+    return _counts(spark, sf_dir)
+
+
+@query(f"with {_VOCAB} select * from vocab")
+def vocab_df_idf(spark, sf_dir):
+    return _vocabulary(spark, sf_dir)
+
+
+@query(f"with {_TOKENS} select doc_id, count(*) as n, count(distinct token) as n_distinct from tokens where token not in ({_WORDS}) group by doc_id")
+def stopword_anti_join(spark, sf_dir):
+    words = vectors.token_rows(_t(spark, sf_dir, "documents"), "doc_id", "text", STOPWORDS)
+    return words.groupBy(F.col("spec_id").alias("doc_id")).agg(F.count("*").alias("n"), F.countDistinct("token").alias("n_distinct"))
+
+
+@query(rf"""with blanked as (select doc_id, regexp_replace(translate(text, '{_UP}', '{_LOW}'), '[!-/:-@\[-`{{-~]', ' ', 'g') as t from documents),
+kept as (select doc_id, list_filter(string_split_regex(t, ' +'), lambda x: x <> '' and x not in ({_WORDS})) as w from blanked)
+select doc_id, regexp_replace(array_to_string(list_transform(w, lambda x: x || ' '), ''), '[0-9]', ' ', 'g') as cleaned from kept""")
+def cleanup_sentences(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", text.cleanup(F.col("text"), STOPWORDS).alias("cleaned"))
+
+
+@query(r"""with w as (select doc_id, unnest(string_split_regex(text, '\s+')) as word from documents)
+select doc_id, count(*) as numbers from w where regexp_full_match(word, '-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?') group by doc_id""")
+def number_words(spark, sf_dir):
+    w = _t(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", r"\s+")).alias("word"))
+    return w.where(text.is_number(F.col("word"))).groupBy("doc_id").agg(F.count("*").alias("numbers"))
+
+
+@query("""select p_partkey, list_reduce(list_prepend(cast(5381 as bigint), list_transform(string_split(p_name, ''), lambda x: cast(ascii(x) as bigint))), lambda h, x: (h * 33 + x) % 4294967296) as hash, strlen(p_name) + 1 as key_size from part""")
+def key_hashes(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", text.djb2(F.col("p_name")).alias("hash"), (F.octet_length("p_name") + 1).cast("long").alias("key_size"))
+
+
+@query("""select event_id, cast(json_extract(props, '$.k') as double) as k, json_keys(props)[1] as first_key, cast(len(json_keys(props)) as integer) as n_keys,
+case json_type(props) when 'OBJECT' then 'OBJECT' end as kind, cast(json(props) as varchar) as printed, cast(null as varchar) as missing from events""")
+def json_members(spark, sf_dir):
+    c = F.col("props")
+    return _t(spark, sf_dir, "events").select("event_id", json.member(c, "k", "double").alias("k"), json.keys(c)[0].alias("first_key"), F.size(json.keys(c)).alias("n_keys"), F.substring(json.kind(c), 1, 6).alias("kind"), json.printed(c).alias("printed"), json.member(c, "nothing").alias("missing"))
+
+
+@query("select c_custkey, 'name' as key, c_name as value from customer union all select c_custkey, 'segment', c_mktsegment from customer")
+def json_string_attributes(spark, sf_dir):
+    made = _t(spark, sf_dir, "customer").select("c_custkey", F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance"), F.array("c_nationkey").alias("nations"))).alias("json"))
+    return json.string_attributes(made).select("c_custkey", "key", "value")
+
+
+@query("select source || '//' || doc_id as spec_id, source as site, cast(doc_id as varchar) as num, source || '/' || doc_id || '.json' as path from documents")
+def spec_paths(spark, sf_dir):
+    ids = _t(spark, sf_dir, "documents").select(F.concat_ws("//", "source", F.col("doc_id").cast("string")).alias("spec_id"))
+    part = F.split("spec_id", "//")
+    return ids.select("spec_id", part[0].alias("site"), part[1].alias("num"), F.concat(part[0], F.lit("/"), part[1], F.lit(".json")).alias("path"))
+
+
+@query(f"with {_CLIQUES} select * from cliques")
+def cliques(spark, sf_dir):
+    return _members(spark, sf_dir)
+
+
+@query(f"with {_ROOTS} select * from roots")
+def different_roots(spark, sf_dir):
+    return P.different_roots(_members(spark, sf_dir), _part_labels(spark, sf_dir))
+
+
+@query(f"with {_ROOTS} select distinct s1 as spec1, s2 as spec2, r1 as root_id from rooted where r1 = r2")
+def label_conflicts(spark, sf_dir):
+    return P.conflicts(_members(spark, sf_dir), _part_labels(spark, sf_dir))
+
+
+@query(f"with {_CLIQUES}, {_SIMILAR} select * from alike")
+def similar_pairs(spark, sf_dir):
+    return P.similar_pairs(_members(spark, sf_dir))
+
+
+@query(f"with {_ROOTS}, {_DIFFERENT} select * from different")
+def different_pairs(spark, sf_dir):
+    m = _members(spark, sf_dir)
+    return P.different_pairs(m, P.different_roots(m, _part_labels(spark, sf_dir)))
+
+
+@query(f"""with {_ROOTS}, {_SIMILAR}, {_DIFFERENT}, pairs as (select * from alike union all select * from different),
+sized as (select *, count(*) over (partition by relation) as n, row_number() over (partition by relation order by md5('42:' || spec1 || ':' || spec2), spec1, spec2) - 1 as place from pairs),
+cut as (select *, n // 2 - (n // 2) % 2 as train, (n - (n // 2 - (n // 2) % 2)) // 2 as rest from sized)
+select spec1, spec2, relation, case when place < train then 'train' when place < train + rest then 'test' when place < train + 2 * rest then 'validation' end as split from cut""")
+def split_pairs(spark, sf_dir):
+    m = _members(spark, sf_dir)
+    return P.split(P.similar_pairs(m).union(P.different_pairs(m, P.different_roots(m, _part_labels(spark, sf_dir)))))
+
+
+@query(f"with {_CLIQUES} select root_id, count(*) as n, string_agg(cast(spec_id as varchar), ' ' order by spec_id) as line from cliques group by root_id having count(*) > 1")
+def clique_lines(spark, sf_dir):
+    return P.clique_lines(_members(spark, sf_dir))
+
+
+@query(f"""with {_ROOTS}, twoway as (select root_a, root_b from roots union all select root_b, root_a from roots)
+select r.root_id, coalesce(string_agg(cast(root_b as varchar), ' ' order by root_b), '') as line from (select distinct root_id from cliques) r left join twoway on root_a = r.root_id group by r.root_id""")
+def different_lines(spark, sf_dir):
+    m = _members(spark, sf_dir)
+    return P.different_lines(m, P.different_roots(m, _part_labels(spark, sf_dir)))
+
+
+@query(f"""with {_CLIQUES}, grouped as (select root_id, count(*) as n, list(spec_id order by spec_id) as m from cliques group by root_id)
+select '"' || root_id || '" [label="' || array_to_string(m[1:3], ', ') || case when n > 3 then ', ...' else '' end || '"];' as line from grouped
+union all select '"' || spec_id || '" -> "' || root_id || '";' from cliques where spec_id <> root_id""")
+def clique_digraph(spark, sf_dir):
+    return P.dot_lines(_members(spark, sf_dir))
+
+
+@query(f"""with {_ROOTS} select a.p_partkey as spec1, b.p_partkey as spec2 from part a join part b on a.p_brand = b.p_brand and a.p_type = b.p_type and a.p_partkey < b.p_partkey
+where not exists (select 1 from differ where s1 = a.p_partkey and s2 = b.p_partkey) and a.p_name <> b.p_name""")
+def unseen_candidates(spark, sf_dir):
+    part = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("spec_id"), "p_brand", "p_type", "p_name")
+    found = P.candidates(part, ["p_brand", "p_type"], _part_labels(spark, sf_dir).where("relation = 0"))
+    name = lambda k: part.select(F.col("spec_id").alias(k), F.col("p_name").alias(f"n_{k}"))
+    return found.join(name("spec1"), "spec1").join(name("spec2"), "spec2").where("n_spec1 <> n_spec2").select("spec1", "spec2")
+
+
+@query(f"with {_VECS} select doc_id as spec_id, position, round(x, 9) as x from vecs")
+def tfidf_vectors(spark, sf_dir):
+    return _vectors(spark, sf_dir).withColumn("x", F.round("x", 9))
+
+
+@query(f"with {_VOCAB} select doc_id as spec_id, position, cast(n as double) as x from counts join vocab using (token)")
+def bow_vectors(spark, sf_dir):
+    counted = _counts(spark, sf_dir)
+    return vectors.vectors(counted, _vocabulary(spark, sf_dir, counted), False)
+
+
+@query(f"with {_VECS} select spec1, spec2, count(*) as n, round(sum(x), 6) as total, round(max(x), 6) as largest from feats group by all")
+def pair_features(spark, sf_dir):
+    return _features(spark, sf_dir).groupBy("spec1", "spec2").agg(F.count("*").alias("n"), F.round(F.sum("x"), 6).alias("total"), F.round(F.max("x"), 6).alias("largest"))
+
+
+@query(f"with {_SCORED} select spec1, spec2, y, round(p, 6) as p, cast(p >= 0.5 as integer) = y as correct from scored")
+def predictions(spark, sf_dir):
+    return M.report(_scored(spark, sf_dir)).withColumn("p", F.round("p", 6))
+
+
+@query(f"with {_SCORED} select spec1, spec2, cast(p >= 0.45 as integer) as relation from scored where p < 0.45 or p > 0.55")
+def confident_pairs(spark, sf_dir):
+    return M.confident(_scored(spark, sf_dir), 0.45)
+
+
+@query(f"with {_SCORED} select round(avg(-ln(greatest(case when y = 1 then p else 1 - p end, 1e-15))), 6) as mean_loss, round(max(-ln(greatest(case when y = 1 then p else 1 - p end, 1e-15))), 6) as max_loss from scored")
+def losses(spark, sf_dir):
+    loss = text.log_loss(F.col("p"), F.col("y"))
+    return _scored(spark, sf_dir).agg(F.round(F.avg(loss), 6).alias("mean_loss"), F.round(F.max(loss), 6).alias("max_loss"))
+
+
+@query(f"with {_SCORED} select position, round(sum(0.0001 * (p - y) * x), 9) as delta from feats join scored using (spec1, spec2) group by position")
+def gradient_step(spark, sf_dir):
+    features = _features(spark, sf_dir)
+    return M.gradient(features, _scored(spark, sf_dir, features), M.RATE).withColumn("delta", F.round("delta", 9))
+
+
+@query("""with c as (select cast(count_if(toxic = 1 and quality = 1) as bigint) as tp, cast(count_if(toxic = 1 and quality = 0) as bigint) as fp, cast(count_if(toxic = 0 and quality = 1) as bigint) as fn, cast(count_if(toxic = 0 and quality = 0) as bigint) as tn from labels)
+select *, round(2.0 * tp / (2 * tp + fp + fn), 9) as f1 from c""")
+def f1_score(spark, sf_dir):
+    return M.f1(_t(spark, sf_dir, "labels").select(F.col("quality").alias("y"), F.col("toxic").cast("double").alias("p"))).withColumn("f1", F.round("f1", 9))
+
+
+@query("select o_orderkey, row_number() over (order by md5('42:' || o_orderkey), o_orderkey) - 1 as rank from orders")
+def sample_order(spark, sf_dir):
+    return ranks.shuffled_rank(_t(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+
+
+@query("""with l as (select l_orderkey, list(l_partkey order by l_partkey, l_linenumber) as a from lineitem group by l_orderkey)
+select l_orderkey, a[1] as first, a[3] as third, a[-1] as last, list_filter(a, lambda x: x > 100)[1] as above, array_to_string(list_reverse(a), ' ') as backwards,
+array_to_string(a[1:2], ' ') as head, array_to_string(a[3:], ' ') as rest, cast(list_sum(list_transform(a, lambda x: x + 1)) as bigint) as mapped, cast(len(list_distinct(a)) as integer) as n_distinct from l""")
+def list_operations(spark, sf_dir):
+    a = F.col("a")
+    lists = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_partkey")).alias("a"))
+    head, rest = C.split_at(a, 2)
+    line = lambda x: F.array_join(x.cast("array<string>"), " ")
+    return lists.select("l_orderkey", C.nth(a, 0).alias("first"), C.nth(a, 2).alias("third"), C.nth(a, -1).alias("last"), C.first_match(a, lambda x: x > 100).alias("above"), line(F.reverse(a)).alias("backwards"), line(head).alias("head"), line(rest).alias("rest"), F.aggregate(F.transform(a, lambda x: x + 1), F.lit(0).cast("long"), lambda s, x: s + x).alias("mapped"), F.size(F.array_distinct(a)).alias("n_distinct"))
+
+
+@query("select c_custkey as id from customer union select s_suppkey from supplier union select o_custkey from orders")
+def set_unions(spark, sf_dir):
+    ids = [_t(spark, sf_dir, t).select(F.col(c).alias("id")) for t, c in (("customer", "c_custkey"), ("supplier", "s_suppkey"), ("orders", "o_custkey"))]
+    return C.set_union(C.set_union(ids[0], ids[1]), ids[2])
+
+
+@query("select s_suppkey as id, s_name as name from supplier union all select c_custkey, c_name from customer where c_custkey not in (select s_suppkey from supplier)")
+def put_if_absent(spark, sf_dir):
+    a = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    return C.put_distinct(a, _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), "id")
+
+
+@query("select user_id, count(*) - 1 as value from events group by user_id")
+def upserts(spark, sf_dir):
+    return C.upserted(_t(spark, sf_dir, "events"), "user_id")
