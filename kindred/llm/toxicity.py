@@ -268,10 +268,13 @@ def train(texts: list[str], toxic: list[bool], landmarks: int = LANDMARKS, round
     # Spans that clean documents hold nearly as often teach nothing.
     in_toxic, in_all = np.bincount(span[y[doc]], minlength=len(guess)), np.bincount(span, minlength=len(guess))
     often = in_toxic * n_neg > RATIO * (in_all - in_toxic) * n_pos
-    significant = np.flatnonzero(often & (in_toxic * np.log(np.maximum(in_toxic, 1e-9) * len(y) / (np.maximum(in_all, 1) * n_pos)) >= SIGNIFICANT))
+    evidence = np.where(often, in_toxic * np.log(np.maximum(in_toxic, 1e-9) * len(y) / (np.maximum(in_all, 1) * n_pos)), 0)
+    significant = np.flatnonzero(evidence >= SIGNIFICANT)
+    # Some labels are wrong: a document whose highest span has no evidence elsewhere, by itself or by the last model, isn't learnt by heart.
+    likely = evidence >= SIGNIFICANT / 2
     model = none
     for _ in range(rounds):
-        good = positive[often[positive]]
+        good = positive[often[positive] & likely[positive]]
         positive = good if len(good) else positive
         distinct, times = np.unique(np.concatenate([positive, significant]), return_counts=True)
         ok = often[distinct]
@@ -295,6 +298,7 @@ def train(texts: list[str], toxic: list[bool], landmarks: int = LANDMARKS, round
         table[used] = phi @ (white @ w)
         model = Model(table, bias, 0.0, decay)
         score = model.score(s.code, s.first)
+        likely = (evidence >= SIGNIFICANT / 2) | (score > 0)
         positive, hard = winners(score, True), np.unique(winners(score, False))
     best = np.full(len(y), -np.inf)
     np.maximum.at(best, doc, score[span])

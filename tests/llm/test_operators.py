@@ -1,0 +1,167 @@
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from kindred.llm import ann, exact, html_extract, minhash, mixing, packing, sharding, toxicity
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, worker string, block string, shard string, score string, digest string, slot string"
+
+
+def documents(spark, rows=None):
+    """Null identifiers, texts and sources, empty and very long texts, ties, repeated rows, and extra columns with clashing names."""
+    rng = np.random.default_rng(5)
+    if rows is None:
+        words = [f"w{i}" for i in range(400)]
+        rows = [(i, " ".join(rng.choice(words, rng.integers(1, 60))), "hot" if i % 3 else f"s{i % 7}") for i in range(80)]
+        rows += [(200, None, "hot"), (None, "no name here", "s1"), (201, "", "s2"), (202, " ", None), (203, "long " * 30000, "s3"), (204, rows[0][1], "s1"), (205, rows[0][1], "s2"), rows[1], rows[1], (None, rows[2][1], "s2"), (7, "another seven", None)]
+    df = spark.createDataFrame([(i, t, "en", s, 1, "w", "b", "s", "x", "d", "y") for i, t, s in rows], SCHEMA)
+    return df.repartition(5)
+
+
+def by_sql(df, sql):
+    documents = df.toPandas()  # noqa: F841
+    documents["doc_id"] = documents["doc_id"].astype("Int64")
+    return sorted(duckdb.sql(sql).fetchall(), key=str)
+
+
+@pytest.mark.parametrize("make,sql", [(packing.pack_documents, packing.oracle()), (mixing.mixture, mixing.ORACLE), (exact.exact_duplicates, exact.ORACLE)])
+def test_equals_sql_on_hard_rows(spark, make, sql):
+    df = documents(spark)
+    found = make(df)
+    columns = ", ".join(found.columns)
+    assert sorted(map(tuple, found.collect()), key=str) == by_sql(df, f"select {columns} from ({sql})")
+
+
+def test_packing_never_overfills(spark):
+    p = packing.pack_documents(documents(spark), capacity=50, classes=5)
+    bins = p.groupBy("class", "worker", "bin").agg(F.sum("n_words").alias("n"), F.count("*").alias("k"), F.max("slot").alias("s")).collect()
+    assert all(b["n"] <= 50 and b["k"] == b["s"] + 1 <= b["class"] for b in bins)
+
+
+def test_exact_small_fans_and_removal(spark):
+    df = documents(spark)
+    expected = by_sql(df, exact.ORACLE)
+    assert sorted(map(tuple, exact.exact_duplicates(df, fan=2).collect()), key=str) == expected
+    left = exact.without_duplicates(df)
+    assert left.columns == df.columns
+    assert left.count() == df.count() - len(expected)
+
+
+def test_schedule_keeps_to_weights(spark):
+    m = mixing.mixture(documents(spark), {"hot": 3, "s1": 1}, block_tokens=20)
+    assert {r["source"] for r in m.select("source").distinct().collect()} <= {"hot", "s1"}
+
+
+def test_sharding_is_a_permutation(spark):
+    df = documents(spark)
+    out = sharding.shuffled(df, bucket_bytes=1 << 14)
+    kept = [c for c in df.columns if c != "shard"]
+    assert sorted(map(str, out.select(kept).collect())) == sorted(map(str, df.select(kept).collect()))
+    at = out.groupBy("shard").agg(F.count("*").alias("n"), F.sum("position").alias("p")).collect()
+    assert len(at) > 1 and all(r["p"] == r["n"] * (r["n"] - 1) // 2 for r in at)
+    again = sharding.shuffled(df.repartition(2), bucket_bytes=1 << 14)
+    assert sorted(map(str, again.collect())) == sorted(map(str, out.collect()))
+
+
+def test_minhash_equals_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    words = [f"v{i}" for i in range(300)]
+    rows = []
+    for g in range(12):
+        base = list(rng.choice(words, 60))
+        for k in range(1 + g % 4):
+            x = list(base)
+            for j in rng.integers(0, 60, k * 2):
+                x[j] = str(rng.choice(words))
+            rows.append((len(rows), " ".join(x), "s"))
+    rows += [(100, None, "s"), (101, "", "s"), (None, rows[0][1], "s"), (102, "two words", "s"), (103, "Two, words!", "s"), rows[3]]
+    found = {tuple(r) for r in minhash.near_duplicates(documents(spark, rows)).collect()}
+    import pyarrow as pa
+
+    named = [r for r in rows if r[0] is not None]
+    w = minhash.words(pa.array([r[1] for r in named], pa.string()))
+    sig, has = minhash.signatures(w.hashes, w.first, minhash.COORDINATES, minhash.SHINGLE)
+    ids = [named[i][0] for i in has]
+    root = {i: i for i in ids}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(ids)):
+        for b in range(a):
+            if (sig[a] == sig[b]).sum() >= minhash.MATCHES:
+                x, y = sorted((top(ids[a]), top(ids[b])))
+                root[y] = x
+    assert found == {(i, top(i)) for i in ids if top(i) != i}
+    assert (103, 102) in found
+
+
+def test_toxicity_held_out_and_edges(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(docs, labels.where("doc_id % 2 = 0"))
+    held = toxicity.scored(docs, model).join(labels.where("doc_id % 2 = 1 and toxic is not null"), "doc_id").select((F.col("score") > model.threshold).alias("p"), (F.col("toxic") == 1).alias("y")).toPandas()
+    hit = (held.p & held.y).sum()
+    # Some labels are wrong: toxic documents without an insult, and the other way round. Measured: 199 of 231 found, 17 others.
+    assert hit / held.y.sum() > 0.8 and hit / held.p.sum() > 0.85
+    edges = documents(spark, [(1, None, "s"), (2, "", "s"), (None, "you idiot", "s"), (3, " \n", "s")])
+    assert toxicity.without_toxic(edges.where("text is null or text <> 'you idiot'"), model).count() == 3
+    assert toxicity.toxic_documents(edges, labels.where("false")).count() == 0
+    assert toxicity.toxic_documents(edges.where("false"), labels).count() == 0
+
+
+def test_html(spark):
+    page = "<html><nav><a>x</a><a>y</a></nav><p>one two three four five</p><p>six seven</p><footer><a>z</a></footer></html>"
+    pages = spark.createDataFrame([(1, "u/5", page, "a"), (2, "u", None, "a"), (3, "u", "", "a"), (None, "u", "<b>unclosed", "a"), (1, "u/5", page, "a"), (4, "u", "<p>" + "w " * 50000, "a")], "page_id long, url string, html string, text string")
+    known = spark.createDataFrame([(5, "one two three four five six seven", "t")], "doc_id long, text string, html string")
+    out = [(r["page_id"], r["text"], r["n_words"]) for r in html_extract.main_text(pages, known).collect()]
+    assert len(out) == 6
+    assert out.count((1, "one two three four five\nsix seven", 7)) == 2
+    assert (2, "", 0) in out and (3, "", 0) in out and (4, " ".join(["w"] * 50000), 50000) in out
+    words, tags = [1.0, 0.0, 4.0, 1.0, 3.0], [-3.0, -0.5, -0.5, -9.0]
+    sums = {(a, b): sum(words[a : b + 1]) + sum(tags[a:b]) for a in range(5) for b in range(a, 5)}
+    assert html_extract.best_region(words, tags)[2] == max(sums.values())
+
+
+def test_neighbours_recall_and_edges(spark):
+    rng = np.random.default_rng(1)
+    v = rng.standard_normal((600, 16)).astype(np.float32)
+    v[5] = v[6]
+    rows = [(i, [float(x) for x in v[i]], "c") for i in range(600)]
+    rows += [(None, rows[0][1], "c"), (900, None, "c"), (901, [1.0], "c"), (902, [float("nan")] * 16, "c"), rows[7]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, cell string").repartition(4)
+    found = ann.nearest_neighbours(df, k=10, cell_rows=100).toPandas()
+    d = np.sqrt(((v[:, None].astype(float) - v[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    true = {(i, j) for i in range(600) if i != 7 for j in np.argsort(d[i])[:10]}
+    got = set(zip(found.vec_id, found.neighbour_id))
+    assert len(true & got) / len(true) > 0.9
+    assert (5, 6) in got and not {900, 901, 902} & set(found.vec_id)
+    assert ann.nearest_neighbours(df.where("false")).count() == 0
+
+
+def test_empty_tables(spark):
+    e = documents(spark).where("false")
+    for f in (packing.pack_documents, mixing.mixture, exact.exact_duplicates, exact.without_duplicates, sharding.shuffled, minhash.near_duplicates):
+        assert f(e).count() == 0
+
+
+def test_pipeline_stages_keep_columns_and_take_effect(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns = docs.columns
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, sf)
+        before, docs = docs, spark.createDataFrame(out.collect(), out.schema)
+        if i < 4:
+            assert docs.columns == columns and docs.exceptAll(before).count() == 0
+        if i == 1:
+            assert docs.select("text").distinct().count() == docs.count()
+        if i == 2:
+            assert minhash.near_duplicates(docs).count() == 0
+    ran = corpus_pipeline.run(spark, sf)
+    assert sorted(map(tuple, ran.collect())) == sorted(map(tuple, docs.collect()))
