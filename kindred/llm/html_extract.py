@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import Shared
+
 TRAIN_PAGES, EPOCHS, SEED = 600, 12, 42
 #: Comments, and scripts and the like with what they hold, count as one tag each; an unclosed one reaches to the page's end.
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?]?(/?[a-zA-Z][a-zA-Z0-9:-]*)?[^<>]*>", re.S | re.I)
@@ -113,15 +115,19 @@ def extract(page: str | None, weights: dict[str, float]) -> tuple[str, int, floa
 
 
 def labelled_pages(pages: DataFrame, documents: DataFrame) -> DataFrame:
-    """(page_id, html, text) of pages whose address ends in the identifier of a document, which is their known content."""
+    """(page_id, doc_id, html, text) of pages whose address ends in the identifier of a document, which is their known content."""
     number = F.expr(r"try_cast(nullif(regexp_extract(url, '/([0-9]+)/?(?:[?#].*)?$', 1), '') as bigint)")
-    known = documents.select(F.col("doc_id").cast("long").alias("__doc"), "text").where("text is not null")
-    return pages.where("html is not null").select("page_id", "html", number.alias("__doc")).join(known, "__doc").select("page_id", "html", "text")
+    known = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    return pages.where("html is not null").select("page_id", "html", number.alias("doc_id")).join(known, "doc_id").select("page_id", "doc_id", "html", "text")
 
 
-def train(labelled: DataFrame, limit: int = TRAIN_PAGES) -> dict[str, float]:
-    """Weights from at most `limit` labelled pages, drawn by a hash of the identifier."""
-    rows = labelled.orderBy(F.xxhash64(F.lit(SEED), "page_id"), "page_id", F.xxhash64("text")).limit(limit).select("html", "text").collect()
+def train(pages: DataFrame, documents: DataFrame, limit: int = TRAIN_PAGES) -> dict[str, float]:
+    """Weights from at most `limit` labelled pages, drawn by a hash of the identifier: identifiers first, and the texts of these alone."""
+    drawn = labelled_pages(pages, documents).select("page_id", "doc_id").distinct().orderBy(F.xxhash64(F.lit(SEED), "page_id"), "page_id", "doc_id").limit(limit)
+    drawn = Shared(pages.sparkSession, "pages").written(drawn, "drawn")
+    few = lambda c: F.broadcast(drawn.select(F.col(c).alias(f"__{c}")).distinct())  # noqa: E731  # `limit` rows at most
+    mine = labelled_pages(pages.join(few("page_id"), F.col("page_id") == F.col("__page_id"), "left_semi"), documents.join(few("doc_id"), F.col("doc_id") == F.col("__doc_id"), "left_semi"))
+    rows = mine.join(F.broadcast(drawn), ["page_id", "doc_id"]).orderBy("page_id", "doc_id", F.xxhash64("html"), F.xxhash64("text")).limit(limit).select("html", "text").collect()
     return learn([(r["html"], r["text"]) for r in rows])
 
 
@@ -142,4 +148,4 @@ def extract_pages(pages: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 def main_text(pages: DataFrame, documents: DataFrame, limit: int = TRAIN_PAGES) -> DataFrame:
     """extract_pages with weights from the pages that labelled_pages finds. Where there are none, every tag scores -1."""
-    return extract_pages(pages, train(labelled_pages(pages, documents), limit))
+    return extract_pages(pages, train(pages, documents, limit))
