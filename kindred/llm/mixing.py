@@ -3,7 +3,8 @@
 Slot s of the mixture is the golden-ratio point (s * 2654435769 mod 2**32) / 2**32, mapped through the sources' cumulative
 weights: over any stretch of slots each source gets its share to within a few slots. A source's slots are ranked, and its
 r-th slot takes its r-th block. Blocks are runs of equally many tokens of the source's documents in a seeded random order. The
-schedule ends where the first source would run out, so no document is taken twice.
+schedule ends where the first source would run out, so no document is taken twice; `whole` goes on from there with the blocks
+that are left, by how far each source has come in proportion to its weight, until every block has its slot.
 
 All arithmetic is on integers. Ranks and running totals are two-level: totals by bucket first, then sums within buckets, so
 no source, however hot, is one task's.
@@ -46,8 +47,22 @@ def schedule(spark, weights: DataFrame, slots: int) -> DataFrame:
     return running(placed.select("slot", "source", F.expr(f"slot div {SLOT_BUCKET}").alias("__bucket")), ["source"], "__bucket", ["slot"], F.lit(1).cast("long"), "rank").drop("__bucket")
 
 
-def mixture(docs: DataFrame, weights: dict[str, int] | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(slot, source, block, doc_id, n_words): the documents that the schedule takes.
+def remainder(spark, work: Shared, placed: DataFrame, blocks: DataFrame, by_source: DataFrame, slots: int, total: int) -> DataFrame:
+    """The mixture of the blocks that the slots placed don't reach, from slot `slots` on; blocks without documents take no slot.
+
+    The d-th block left of a source comes at (d + 1/2) * total / weight, counted in half slots: a source that runs out leaves
+    its share to the others, in proportion to their weights.
+    """
+    taken = placed.groupBy("source").agg(F.count("*").alias("taken"))
+    taken = work.written(by_source.select("source", "weight").join(taken, "source", "left").select("source", "weight", F.coalesce("taken", F.lit(0)).alias("taken")), "taken")
+    left = work.written(blocks.join(taken, "source").where("block >= taken").withColumn("__at", F.expr(f"(2 * (block - taken) + 1) * {total}L div weight")).drop("weight", "taken"), "left")
+    each = left.select("source", "block", "__at").distinct().withColumn("__bucket", F.expr(f"__at div {2 * SLOT_BUCKET}"))
+    each = running(each, [], "__bucket", ["__at", "source", "block"], F.lit(1).cast("long"), "__n").select("source", "block", (F.col("__n") + slots).alias("slot"))
+    return left.join(each, ["source", "block"]).select("slot", "source", "block", "doc_id", "n_words")
+
+
+def mixture(docs: DataFrame, weights: dict[str, int] | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", whole: bool = False) -> DataFrame:
+    """(slot, source, block, doc_id, n_words): the documents that the schedule takes; with `whole`, all documents of the weighted sources.
 
     weights: source to a positive integer, below 2**31 in all; others get nothing. Without weights, a source weighs the whole
     part of the square root of its tokens, so that large ones are damped. Tokens are words set apart by white space.
@@ -76,7 +91,10 @@ def mixture(docs: DataFrame, weights: dict[str, int] | None = None, block_tokens
     total = by_source.agg(F.sum("weight")).first()[0]
     slots = by_source.agg(F.min(F.expr(f"blocks * {total}L div weight"))).first()[0] if total else 0
     placed = schedule(spark, by_source, slots)
-    return placed.join(blocks, (placed["source"] == blocks["source"]) & (placed["rank"] == blocks["block"])).select("slot", placed["source"], "block", "doc_id", "n_words")
+    if whole:
+        placed = work.written(placed, "placed")
+    taken = placed.join(blocks, (placed["source"] == blocks["source"]) & (placed["rank"] == blocks["block"])).select("slot", placed["source"], "block", "doc_id", "n_words")
+    return taken.union(remainder(spark, work, placed, blocks, by_source, slots, total or 1)) if whole else taken
 
 
 ORACLE = f"""
