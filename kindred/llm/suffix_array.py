@@ -9,9 +9,12 @@ Puglisi, Smyth and Turpin: a name that only one document has starts no passage t
    them. Each level's names cover three times as many words.
 3. The recursion ends at the level whose names, from the farthest sample that the difference cover can ask for, still lie
    within the wanted length; at that level all places are sorted, not only a sample.
-4. Merge the remaining suffixes: whatever their classes, two suffixes reach sampled places after the same few words, so
+4. Keep the suffixes that may have an equal neighbour as candidates: whatever their classes, two suffixes reach sampled places after the same few words, so
    a suffix may have an equal neighbour only if some sample within that distance kept its name.
-5. Sort those suffixes by their first min_words words and compare adjacent prefixes.
+5. Look up which candidates' first min_words words, as a 64-bit fingerprint, another document has too.
+
+No suffix array is made: suffixes are neither merged by rank nor compared with their neighbours. The names are a filter, and
+the fingerprint join of step 5, the same as operator 4's, decides the result.
 
 Triples are ordered by fingerprint, not by alphabet. Any total order puts equal prefixes side by side, and this one spreads
 frequent words evenly over the ranges. Order beyond min_words is not computed, as step 5 compares only so far.
