@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.matcher import Matcher
+
 SPEC_FILE = r"([^/]+)/([^/]+)\.json$"
 
 
@@ -47,6 +50,21 @@ def write_model(spark: SparkSession, model, path: str) -> None:
     spark.createDataFrame([(model.mode, model.learning_rate, model.bias, [float(x) for x in model.weights])], "mode string, learning_rate double, bias double, weights array<double>").coalesce(1).write.mode("overwrite").parquet(path)
 
 
+def read_model(spark: SparkSession, path: str) -> Matcher:
+    """The model that write_model wrote."""
+    row = spark.read.parquet(path).first()
+    return Matcher(np.array(row["weights"], float), row["bias"], row["learning_rate"], row["mode"])
+
+
+def read_model_text(spark: SparkSession, path: str) -> Matcher:
+    """The model of a text file with a line each for mode, learning rate, bias, number of weights, and every weight."""
+    parts = spark.read.text(path, wholetext=True).first()["value"].split()
+    weights = np.array(parts[4:], float)
+    if len(parts) < 4 or len(weights) != int(parts[3]):
+        raise ValueError(f"{path} doesn't hold the number of weights that it states")
+    return Matcher(weights, float(parts[2]), float(parts[1]), parts[0])
+
+
 def write_pairs(pairs: DataFrame, path: str) -> None:
     """Appends spec1,spec2,relation."""
     pairs.select("spec1", "spec2", "relation").write.mode("append").csv(path, header=True)
