@@ -8,7 +8,7 @@ boundary sign at either end; single letters in a row are joined to one span more
 
 Nyström: a span is described by its kernel values with some landmark spans, whitened by the landmarks' own kernel matrix, and a linear SVM with squared
 hinge loss is fitted by Newton's method. A labelled sentence is as toxic as its most toxic span: a toxic document's
-spans compete, and the winner is retrained on (multiple-instance SVM), with the highest spans of clean ones against it.
+spans compete, and the winner is retrained on (multiple-instance SVM), with all spans of the clean ones against it.
 Since every landmark is a sum of explicit subsequences, the fitted function folds into one weight a subsequence; scoring
 a span is a sum of table lookups and doesn't depend on the number of landmarks.
 """
@@ -177,14 +177,15 @@ def _inserted(code: np.ndarray, first: np.ndarray, rng: np.random.Generator) ->
     return np.insert(code, np.minimum(at, first[1:] - 1), rng.integers(1, 27, len(n))), first + np.arange(len(first))
 
 
-def _kernel(x: tuple, marks: tuple, decay: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Kernel values of spans x with the landmarks; the landmarks' subsequences and their values as a matrix."""
+def _kernel(x: tuple, marks: tuple, decay: float, white: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kernel values of spans x with the landmarks, times `white` if given; the landmarks' subsequences and their values as a matrix."""
     o, f, v = _table(*marks, decay)
     used, col = np.unique(f, return_inverse=True)
     phi = np.zeros((len(used), len(marks[1]) - 1), np.float32)
     np.add.at(phi, (col, o), v)
-    out = np.zeros((len(x[1]) - 1, phi.shape[1]))
+    out = np.empty((len(x[1]) - 1, phi.shape[1]) if white is None else (len(x[1]) - 1, white.shape[1]), np.float64 if white is None else np.float32)
     for lo in range(0, len(out), 2000):
+        k = np.zeros((min(2000, len(out) - lo), phi.shape[1]))
         part = _take(*x, np.arange(lo, min(lo + 2000, len(out))))
         po, pf, pv = _table(*part, decay)
         at = np.minimum(np.searchsorted(used, pf), len(used) - 1)
@@ -198,21 +199,27 @@ def _kernel(x: tuple, marks: tuple, decay: float) -> tuple[np.ndarray, np.ndarra
             for g in range(0, len(begin), step):
                 a = begin[g]
                 z = begin[g + step] if g + step < len(begin) else len(po)
-                out[lo + po[begin[g : g + step]]] = np.add.reduceat(phi[at[a:z]] * pv[a:z, None].astype(np.float32), begin[g : g + step] - a)
+                k[po[begin[g : g + step]]] = np.add.reduceat(phi[at[a:z]] * pv[a:z, None].astype(np.float32), begin[g : g + step] - a)
+        out[lo : lo + len(k)] = k if white is None else k @ white
     return out, used, phi
 
 
 def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float) -> tuple[np.ndarray, float]:
-    """Linear SVM with squared hinge loss by Newton's method."""
-    x = np.hstack([z, np.ones((len(z), 1))])
-    w = np.zeros(x.shape[1])
-    ridge = np.eye(x.shape[1])
+    """Linear SVM with squared hinge loss by Newton's method, some thousand rows at a time."""
+    w = np.zeros(z.shape[1] + 1)
+    ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-6
     active = np.ones(len(z), bool)
     for _ in range(30):
-        a = x[active] * (2 * c * weight[active])[:, None]
-        w = np.linalg.solve(ridge + a.T @ x[active], a.T @ y[active])
-        now = y * (x @ w) < 1
+        left, right = ridge.copy(), np.zeros(len(w))
+        for lo in range(0, len(z), 8192):
+            on = lo + np.flatnonzero(active[lo : lo + 8192])
+            x = np.hstack([z[on].astype(float), np.ones((len(on), 1))])
+            a = x * (2 * c * weight[on])[:, None]
+            left += a.T @ x
+            right += a.T @ y[on]
+        w = np.linalg.solve(left, right)
+        now = y * (z @ w[:-1].astype(z.dtype) + w[-1]) < 1
         if (now == active).all():
             break
         active = now
@@ -220,7 +227,7 @@ def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float) -> tuple[np
 
 
 def train(texts: list[str], toxic: list[bool], landmarks: int = LANDMARKS, rounds: int = ROUNDS, decay: float = DECAY, c: float = 100.0, seed: int = SEED) -> Model:
-    """A model from labelled texts. Without both kinds of label nothing is toxic."""
+    """A model from labelled texts, with every distinct span of the clean ones as background. Without both kinds of label nothing is toxic."""
     y = np.array(toxic, bool)
     none = Model(np.zeros(LETTERS**4, np.float32), -1.0, np.inf, decay)
     if not y.any() or y.all():
@@ -262,7 +269,6 @@ def train(texts: list[str], toxic: list[bool], landmarks: int = LANDMARKS, round
         return span[top[y[doc[top]] == of]]
 
     clean = np.unique(span[~y[doc]])
-    background = rng.choice(clean, min(len(clean), 6000), replace=False) if len(clean) else clean
     hard = np.zeros(0, np.int64)
     positive = winners(guess, True)
     # Spans that clean documents hold nearly as often teach nothing.
@@ -279,7 +285,7 @@ def train(texts: list[str], toxic: list[bool], landmarks: int = LANDMARKS, round
         distinct, times = np.unique(np.concatenate([positive, significant]), return_counts=True)
         ok = often[distinct]
         distinct, times = (distinct[ok], times[ok]) if ok.any() else (distinct, times)
-        negative = np.setdiff1d(np.union1d(background, hard), distinct)
+        negative = np.setdiff1d(clean, distinct)
         marks = np.concatenate([distinct[np.argsort(-times, kind="stable")][: landmarks // 2], hard[: landmarks // 4]])
         marks = np.unique(np.concatenate([marks, rng.permutation(negative)[: landmarks - len(marks)]]).astype(np.int64))
         inserted = _inserted(*_take(s.code, s.first, np.repeat(distinct, INSERTED)), rng)
@@ -289,11 +295,11 @@ def train(texts: list[str], toxic: list[bool], landmarks: int = LANDMARKS, round
         times = np.sqrt(times) / np.sqrt(times).sum()
         weight = np.concatenate([times / 2, np.full(len(negative), 1 / max(1, len(negative))), np.repeat(times / 2 / INSERTED, INSERTED)]) * len(label) / 2
         mark = _take(s.code, s.first, marks)
-        k, used, phi = _kernel(x, mark, decay)
         own, vectors = np.linalg.eigh(_kernel(mark, mark, decay)[0])
         ok = own > max(1e-6 * own.max(), 1e-12)
         white = vectors[:, ok] / np.sqrt(own[ok])
-        w, bias = _svm(k @ white, label, weight, c)
+        z, used, phi = _kernel(x, mark, decay, white)
+        w, bias = _svm(z, label, weight, c)
         table = np.zeros(LETTERS**4, np.float32)
         table[used] = phi @ (white @ w)
         model = Model(table, bias, 0.0, decay)

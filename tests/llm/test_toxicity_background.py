@@ -1,0 +1,11 @@
+from kindred.llm import toxicity
+
+
+def test_op2_learns_from_every_clean_span(monkeypatch):
+    fitted, svm = [], toxicity._svm
+    monkeypatch.setattr(toxicity, "_svm", lambda z, y, weight, c: fitted.append(int((y < 0).sum())) or svm(z, y, weight, c))
+    letters = "abcdefghijklmnopqrst"
+    word = lambda i: "".join(letters[i // 20**k % 20] for k in range(4))
+    clean = [" ".join(word(20 * i + j) for j in range(20)) for i in range(400)]
+    toxicity.train(clean + [f"{word(9000 + i)} zzyyxxw" for i in range(40)], [False] * 400 + [True] * 40, landmarks=40, rounds=1)
+    assert fitted == [8000]
