@@ -1,10 +1,12 @@
-"""Blocks of tokenised documents, and a global test of which 64-bit keys occur in more than one document.
+"""Blocks of tokenised documents, and global questions that they ask about 64- or 128-bit keys.
 
-Documents lie in blocks of about a million words, one row each, as compressed numpy bytes in a written table. A block sends
-each of its distinct keys once, sorted, to the key range (bucket) that it belongs to; the bucket merges these sorted runs
-and answers every block with one bit a key, and a name for each key that is shared. Rows are (block, bucket) slices, so
-the shuffle costs bytes rather than rows, and a key that occurs in a billion places arrives once from each block: hot
-words, hot sources and large groups of copies make no hot bucket.
+Documents lie in blocks of about a million words, one row each, as compressed numpy bytes in a written table. A block sends each
+of its distinct keys once to the worker that owns the key's range; that worker merges what it gets and answers every block that
+asked: which keys are shared, how often a key occurs, its rank among all keys. A key that occurs in a billion places arrives once
+from each block, so hot words, hot sources and large groups of copies make no hot worker.
+
+Records travel by digits: with `FAN` ** r workers a record takes r exchanges, each of which sets one digit of the worker it is
+at, so a worker sends `FAN` rows at most in each, and the rows of an exchange grow with the corpus and not with its square.
 """
 
 from __future__ import annotations
@@ -18,12 +20,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import windows, words
+from ..shared import Shared
+from .words import words
 
 BLOCK_WORDS = 1 << 20
-BUCKET_KEYS = 3 << 20
+WORKER_KEYS = 2 << 20
+FAN = 256
 BLOCK = "block bigint, n_words bigint, doc_ids binary, lengths binary, vocabulary binary, tokens binary"
-ANSWER = "block bigint, bucket int, shared binary, names binary"
+ROUTED = "worker bigint, source bigint, data binary"
+U = np.uint64
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -43,13 +48,18 @@ def _unplaned(b: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(unpack(b, np.uint8).reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
 
 
-def pack_sorted(keys: np.ndarray) -> bytes:
-    """Sorted 64-bit keys as their differences."""
-    return _planes(np.diff(keys, prepend=np.uint64(0)))
+def pack_columns(*columns: np.ndarray) -> bytes:
+    """Columns of 64-bit numbers of one length, each as its differences: sorted and constant ones come to little."""
+    return _planes(np.concatenate([np.diff(c.astype(U, copy=False), prepend=U(0)) for c in columns]))
+
 
+def unpack_columns(b: bytes, n: int) -> list[np.ndarray]:
+    return [np.cumsum(c, dtype=U) for c in _unplaned(b, U).reshape(n, -1)]
 
-def unpack_sorted(b: bytes) -> np.ndarray:
-    return np.cumsum(_unplaned(b, np.uint64), dtype=np.uint64)
+
+def joined_columns(blobs: list[bytes], n: int) -> list[np.ndarray]:
+    parts = [unpack_columns(b, n) for b in blobs]
+    return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, U) for i in range(n)]
 
 
 def _pack_tokens(t: np.ndarray) -> tuple[bytes, bytes]:
@@ -66,6 +76,7 @@ def rows(schema: dict[str, pa.DataType], **columns) -> pa.RecordBatch:
 
 
 _BLOCK = {"block": pa.int64(), "n_words": pa.int64(), "doc_ids": pa.binary(), "lengths": pa.binary(), "vocabulary": pa.binary(), "tokens": pa.binary()}
+_ROUTED = {"worker": pa.int64(), "source": pa.int64(), "data": pa.binary()}
 
 
 def _block(number: int, ids: list, lengths: list, tokens: list) -> pa.RecordBatch:
@@ -95,12 +106,23 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def token_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs as blocks. Rows without an identifier are left out: no result could name them. A null text has no words."""
-    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_build, BLOCK)
+    return docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(_build, BLOCK)
+
 
+def numbered(blocks: DataFrame) -> DataFrame:
+    """blocks, whose numbers are partition * 2**32 + place, numbered 0, 1, ... without gaps. One number a partition goes to the driver."""
+    sizes = blocks.groupBy(F.shiftright("block", 32).alias("p")).count().collect()
+    first, at = {}, 0
+    for p, n in sorted((r["p"], r["count"]) for r in sizes):
+        first[p] = at
+        at += n
+    starts = blocks.sparkSession.createDataFrame(list(first.items()) or [(0, 0)], "p bigint, base bigint")
+    named = blocks.withColumn("p", F.shiftright("block", 32)).join(F.broadcast(starts), "p")  # a row a partition
+    return named.withColumn("block", F.col("base") + F.col("block").bitwiseAND((1 << 32) - 1)).select(*blocks.columns)
 
-def bucket_count(blocks: DataFrame) -> int:
-    total = blocks.agg(F.sum("n_words")).first()[0] or 0
-    return max(1, -(-total // BUCKET_KEYS))
+
+def worker_count(blocks: int, keys: int) -> int:
+    return max(1, blocks, -(-keys // WORKER_KEYS))
 
 
 class Docs:
@@ -108,7 +130,7 @@ class Docs:
 
     def __init__(self, row: dict):
         self.ids, self.lengths = unpack(row["doc_ids"], np.int64), unpack(row["lengths"], np.int64)
-        self.tokens = unpack(row["vocabulary"], np.uint64)[_unplaned(row["tokens"], np.uint32)]
+        self.tokens = unpack(row["vocabulary"], U)[_unplaned(row["tokens"], np.uint32)]
         self.first = np.concatenate([[0], np.cumsum(self.lengths)])
         self.doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.lengths)
 
@@ -120,148 +142,187 @@ class Docs:
         return self.first[self.doc + 1] - np.arange(len(self.tokens))
 
 
-def distinct(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The sorted distinct keys, which of them occur in two or more documents of this block, and each key's place among them."""
-    if not len(keys):
-        return keys, np.zeros(0, bool), np.zeros(0, np.int64)
-    order = np.argsort(keys, kind="stable")
-    k, d = keys[order], doc[order]
-    new = np.concatenate([[True], k[1:] != k[:-1]])
-    place = np.cumsum(new) - 1
-    several = np.zeros(place[-1] + 1, bool)
-    several[place[1:][~new[1:] & (d[1:] != d[:-1])]] = True
-    inverse = np.empty(len(keys), np.int64)
-    inverse[order] = place
-    return k[new], several, inverse
+def order_of(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """The places of the keys (hi, lo) in ascending order."""
+    return np.argsort(hi, kind="stable") if not lo.any() else np.lexsort((lo, hi))
 
 
-_SLICE = {"bucket": pa.int32(), "block": pa.int64(), "keys": pa.binary(), "several": pa.binary(), "counts": pa.binary()}
-_ANSWER = {"block": pa.int64(), "bucket": pa.int32(), "shared": pa.binary(), "names": pa.binary()}
+def _new(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """Of sorted keys: which differ from the one before."""
+    out = np.ones(len(hi), bool)
+    out[1:] = (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
+    return out
 
 
-def shared_keys(state: DataFrame, keys_of: Callable[[dict], tuple[np.ndarray, np.ndarray]], buckets: int, give: str = "") -> DataFrame:
-    """For each block of state, answers about keys_of(row): its keys, in any order, and the document of each.
+class Distinct:
+    """The sorted distinct keys of a block, how often each occurs, which lie in two or more of its documents, and each key's place among them."""
 
-    A key is shared if it occurs in two or more documents of all blocks. give: what is said of a shared key besides: "name",
-    its rank among the shared keys, or "count", its number of occurrences (a document's repeated keys count each time).
-    """
-    width = (1 << 64) // buckets + 1
+    def __init__(self, hi: np.ndarray, lo: np.ndarray, doc: np.ndarray):
+        order = order_of(hi, lo)
+        h, l, d = hi[order], lo[order], doc[order]
+        new = _new(h, l)
+        place = np.cumsum(new) - 1
+        self.hi, self.lo = h[new], l[new]
+        self.count = np.bincount(place, minlength=len(self.hi))
+        self.several = np.zeros(len(self.hi), bool)
+        self.several[place[1:][~new[1:] & (d[1:] != d[:-1])]] = True
+        self.inverse = np.empty(len(hi), np.int64)
+        self.inverse[order] = place
+
+
+def uniform(workers: int) -> Callable[..., np.ndarray]:
+    """The owner of a key whose upper half is a hash; owners' ranges rise with the key."""
+    return lambda hi, *_: ((hi >> U(32)) * U(workers) >> U(32)).astype(np.int64)
+
+
+def _text(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """Keys as byte strings of the same order."""
+    out = np.empty((len(hi), 2), ">u8")
+    out[:, 0], out[:, 1] = hi, lo
+    return out.view("S16").ravel()
+
+
+def ranges(state: DataFrame, keys_of: Callable[[dict], tuple], workers: int) -> Callable[..., np.ndarray]:
+    """The owner of a key by ranges that hold about equally many keys, cut at a sample of some 64 keys a worker, as Spark's own range partitioning does."""
+    stride = max(1, WORKER_KEYS // 64)
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                keys, several, inverse = distinct(*keys_of(row))
-                counts = np.minimum(np.bincount(inverse, minlength=len(keys)), (1 << 32) - 1).astype(np.uint32) if give == "count" else None
-                cut = np.searchsorted(keys, np.array([i * width for i in range(1, buckets)], np.uint64)) if buckets > 1 else []
-                cut = [0, *cut, len(keys)]
-                parts = [(i, lo, hi) for i, (lo, hi) in enumerate(zip(cut[:-1], cut[1:])) if hi > lo]
-                if parts:
-                    yield rows(_SLICE, bucket=[i for i, _, _ in parts], block=[row["block"]] * len(parts), keys=[pack_sorted(keys[lo:hi]) for _, lo, hi in parts], several=[np.packbits(several[lo:hi]).tobytes() for _, lo, hi in parts], counts=[b"" if counts is None else pack(counts[lo:hi]) for _, lo, hi in parts])
-
-    def merge(table: pa.Table) -> pa.Table:
-        runs = [unpack_sorted(x) for x in table["keys"].to_pylist()]
-        sizes = np.array([len(x) for x in runs])
-        several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(table["several"].to_pylist(), sizes)]).astype(bool)
-        keys = np.concatenate(runs)
-        order = np.argsort(keys, kind="stable")  # merges the sorted runs
-        k = keys[order]
-        new = np.concatenate([[True], k[1:] != k[:-1]])
-        place = np.cumsum(new) - 1
-        shared = np.zeros(place[-1] + 1, bool)
-        shared[place[~new]] = True
-        shared[place[several[order]]] = True
-        inverse = np.empty(len(keys), np.int64)
-        inverse[order] = place
-        bits = shared[inverse]
-        if give == "count":
-            counts = np.concatenate([unpack(x, np.uint32) for x in table["counts"].to_pylist()])
-            said = np.minimum(np.bincount(inverse, counts, len(shared)), (1 << 32) - 1).astype(np.uint32)[inverse]
-        elif give == "name":
-            said = np.cumsum(shared).astype(np.uint32)[inverse]
-        ends = np.cumsum(sizes)
-        lists = [(bits[e - n : e], said[e - n : e] if give else None) for e, n in zip(ends, sizes)]
-        return pa.table({"block": table["block"], "bucket": table["bucket"], "shared": pa.array([np.packbits(b).tobytes() for b, _ in lists], pa.binary()), "names": pa.array([x[b].tobytes() if give else b"" for b, x in lists], pa.binary())})
-
-    return state.mapInArrow(split, "bucket int, block bigint, keys binary, several binary, counts binary").groupBy("bucket").applyInArrow(merge, ANSWER)
+                hi, lo, _ = keys_of(row)
+                at = slice(row["block"] % stride % max(1, len(hi)), None, stride)
+                yield pa.RecordBatch.from_arrays([pa.array([pack_columns(hi[at], lo[at])], pa.binary())], names=["data"])
+
+    if workers == 1:
+        return lambda hi, *_: np.zeros(len(hi), np.int64)
+    hi, lo = joined_columns([r["data"] for r in state.mapInArrow(sample, "data binary").collect()], 2)
+    keys = np.sort(_text(hi, lo))
+    cuts = np.unique(keys[np.arange(1, workers) * len(keys) // workers]) if len(keys) else keys
+    return lambda hi, lo, *_: np.searchsorted(cuts, _text(hi, lo), "right").astype(np.int64)
+
+
+def routed(records: DataFrame, width: int, to: Callable[..., np.ndarray], workers: int) -> DataFrame:
+    """Rows (worker, source, data) whose records, of `width` columns, lie with the workers that `to` says of them. records: the same, anywhere. source: the last sender."""
+    rounds, fan = 1, FAN
+    while fan**rounds < workers:
+        rounds += 1
+
+    def cut(worker: int, columns: list[np.ndarray], place: int) -> pa.RecordBatch:
+        digit = to(*columns) // place % fan
+        order = np.argsort(digit, kind="stable")
+        ends = np.append(np.flatnonzero(np.diff(digit[order])) + 1, len(order)) if len(order) else []
+        base, out, lo = worker - worker // place % fan * place, [], 0
+        for hi in ends:
+            at = order[lo:hi]
+            out.append((base + int(digit[at[0]]) * place, pack_columns(*(c[at] for c in columns))))
+            lo = hi
+        return rows(_ROUTED, worker=[w for w, _ in out], source=[worker] * len(out), data=[d for _, d in out])
+
+    top = fan ** (rounds - 1)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield cut(row["worker"], unpack_columns(row["data"], width), top)
 
+    records = records.mapInArrow(first, ROUTED)
+    def onward(place: int) -> Callable[[pa.Table], pa.Table]:
+        def run(table: pa.Table) -> pa.Table:
+            table = table.sort_by("source")
+            return pa.Table.from_batches([cut(table["worker"][0].as_py(), joined_columns(table["data"].to_pylist(), width), place)])
 
-class Answers:
-    """The answers to one block, as arrays in the order of its sorted distinct keys."""
+        return run
 
-    def __init__(self, table: pa.Table, buckets: int):
-        self.table, self.width = table, (1 << 64) // buckets + 1
+    for r in range(1, rounds):
+        records = records.groupBy("worker").applyInArrow(onward(fan ** (rounds - 1 - r)), ROUTED)
+    return records
 
-    def read(self, keys: np.ndarray, named: bool = True) -> tuple[np.ndarray, np.ndarray]:
-        """keys: sorted and distinct. Which are shared, and their names (if not named: counts); 0 for others."""
-        shared, names = np.zeros(len(keys), bool), np.zeros(len(keys), np.uint64)
-        for row in self.table.sort_by("bucket").to_pylist():
-            lo = int(np.searchsorted(keys, np.uint64(row["bucket"] * self.width)))
-            top = (row["bucket"] + 1) * self.width
-            hi = len(keys) if top >= 1 << 64 else int(np.searchsorted(keys, np.uint64(top)))
-            shared[lo:hi] = np.unpackbits(np.frombuffer(row["shared"], np.uint8), count=hi - lo).astype(bool)
-            if row["names"]:
-                names[lo:hi][shared[lo:hi]] = (np.uint64(row["bucket"] << 32) if named else np.uint64(0)) + np.frombuffer(row["names"], np.uint32)
-        return shared, names
 
+#: A question's record: key in two halves, twice its place among its block's keys and whether several of the block's documents have it, block, occurrences.
+_ASKED = 5
 
-def answered(state: DataFrame, answers: DataFrame, buckets: int, f: Callable[[dict, Answers], dict]) -> DataFrame:
-    """The next state: f of each block of state and the answers to it."""
 
-    def both(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = [f(row, Answers(right, buckets)) for row in left.to_pylist()]
-        return pa.table({k: pa.array([x[k] for x in found], t) for k, t in _STATE.items()})
+class Answers:
+    """What the workers say: a written table of (worker, source, data), and the names that workers before each one have given."""
 
-    return state.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(both, STATE)
+    def __init__(self, table: DataFrame, base: np.ndarray, names: int):
+        self.table, self.base, self.names = table, base, names
 
 
-STATE = "block bigint, n_words bigint, doc_ids binary, lengths binary, at binary, keys binary"
-_STATE = {"block": pa.int64(), "n_words": pa.int64(), "doc_ids": pa.binary(), "lengths": pa.binary(), "at": pa.binary(), "keys": pa.binary()}
+def ask(work: Shared, name: str, state: DataFrame, keys_of: Callable[[dict], tuple], workers: int, reply: str, to: Callable[..., np.ndarray] | None = None) -> Answers:
+    """Asks about keys_of(row), (hi, lo, document) of a block's keys in any order, for every row of state.
 
+    A key is shared if two or more documents of all blocks have it. reply: "shared" answers for shared keys alone, "all" for all;
+    an answer is a key's rank, from 1, among the keys that are answered for, and with "count" how often it occurs.
+    Ranks follow the keys' order if `to` does.
+    """
+    to = to or uniform(workers)
+
+    def questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                d = Distinct(*keys_of(row))
+                if len(d.hi):
+                    data = pack_columns(d.hi, d.lo, np.arange(len(d.hi)) * 2 + d.several, np.full(len(d.hi), row["block"]), d.count)
+                    yield rows(_ROUTED, worker=[row["block"]], source=[row["block"]], data=[data])
+
+    def answer(table: pa.Table) -> pa.Table:
+        me = table["worker"][0].as_py()
+        hi, lo, tag, block, count = joined_columns(table.sort_by("source")["data"].to_pylist(), _ASKED)
+        order = order_of(hi, lo)
+        new = _new(hi[order], lo[order])
+        place = np.cumsum(new) - 1
+        total = np.zeros(place[-1] + 1, np.int64)
+        np.add.at(total, place, count[order].astype(np.int64))
+        shared = np.ones(len(total), bool)
+        if reply == "shared":
+            shared = np.zeros(len(total), bool)
+            shared[place[~new]] = True
+            shared[place[(tag[order] & U(1)).astype(bool)]] = True
+        said = total if reply == "count" else np.cumsum(shared)
+        on = np.flatnonzero(shared[place])
+        at = order[on]
+        by = np.lexsort((tag[at], block[at]))
+        at, said = at[by], said[place[on[by]]]
+        data = pack_columns(block[at], tag[at] >> U(1), said, np.full(len(at), me))
+        return pa.table({"worker": pa.array([me, -1 - me], pa.int64()), "source": pa.array([me, int(shared.sum())], pa.int64()), "data": pa.array([data, b""], pa.binary())})
+
+    asked = routed(state.mapInArrow(questions, ROUTED), _ASKED, to, workers)
+    answers = work.written(asked.groupBy("worker").applyInArrow(answer, ROUTED), f"{name}-answers")
+    base = np.zeros(workers, np.int64)
+    if reply != "count":
+        for r in answers.where("worker < 0").select("worker", "source").collect():  # one number a worker
+            base[-1 - r["worker"]] = r["source"]
+    return Answers(routed(answers.where("worker >= 0"), 4, lambda block, *_: block.astype(np.int64), workers), np.cumsum(base) - base, int(base.sum()))
+
+
+def heard(state: DataFrame, answers: Answers, f: Callable[[dict, np.ndarray, np.ndarray], dict], schema: dict[str, pa.DataType], ddl: str) -> DataFrame:
+    """The next state: f(row, places, what is said) of each block of state, places being those among its sorted distinct keys."""
+    base = answers.base
+
+    def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        _, place, said, worker = joined_columns(right.sort_by("source")["data"].to_pylist(), 4)
+        found = [f(row, place.astype(np.int64), said.astype(np.int64) + base[worker.astype(np.int64)]) for row in left.to_pylist()]
+        return pa.table({k: pa.array([x[k] for x in found], t) for k, t in schema.items()})
 
-def state_row(row: dict, at: np.ndarray, keys: np.ndarray) -> dict:
-    """Tokens of a block, by place, each with a key. Places mostly follow each other, so their differences compress to little."""
-    return {"block": row["block"], "n_words": row["n_words"], "doc_ids": row["doc_ids"], "lengths": row["lengths"], "at": pack(np.diff(at, prepend=0).astype(np.uint32)), "keys": keys.tobytes()}
+    return state.groupBy("block").cogroup(answers.table.withColumnRenamed("worker", "block").groupBy("block")).applyInArrow(both, ddl)
 
 
-def state_keys(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    at = np.cumsum(unpack(row["at"], np.uint32).astype(np.int64))
-    lengths = unpack(row["lengths"], np.int64)
-    doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
-    return np.frombuffer(row["keys"], np.uint64), doc[at]
+def said_of(n: int, place: np.ndarray, said: np.ndarray) -> np.ndarray:
+    """What is said of each of n keys; 0 where nothing is."""
+    out = np.zeros(n, np.int64)
+    out[place] = said
+    return out
 
 
 SPANS = "doc_id bigint, start_word bigint, end_word bigint, n_words bigint"
 
 
-def window_state(row: dict, docs: Docs, candidate: np.ndarray, length: int) -> dict:
-    """State of the candidate tokens, keyed by a fingerprint of the length tokens from each."""
-    at = np.flatnonzero(candidate)
-    keys = windows(docs.tokens, length)
-    return state_row(row, at, keys[at])
-
-
-def repeated_spans(state: DataFrame, buckets: int, length: int) -> DataFrame:
-    """Of window states: the longest spans of which every token lies in a window that another document has too."""
-    answers = shared_keys(state, state_keys, buckets)
-
-    def spans_of(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {k: [] for k in ("doc_id", "start_word", "end_word")}
-        for row in left.to_pylist():
-            keys, doc = state_keys(row)
-            at = np.cumsum(unpack(row["at"], np.uint32).astype(np.int64))
-            k, _, inverse = distinct(keys, doc)
-            shared, _ = Answers(right, buckets).read(k)
-            hit = at[shared[inverse]]
-            if not len(hit):
-                continue
-            d = doc[shared[inverse]]
-            begin = np.concatenate([[True], (hit[1:] > hit[:-1] + length) | (d[1:] != d[:-1])])
-            end = np.concatenate([begin[1:], [True]])
-            ids, first = unpack(row["doc_ids"], np.int64), np.concatenate([[0], np.cumsum(unpack(row["lengths"], np.int64))])
-            out["doc_id"].append(ids[d[begin]])
-            out["start_word"].append(hit[begin] - first[d[begin]])
-            out["end_word"].append(hit[end] + length - first[d[end]])
-        a = {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in out.items()}
-        return pa.table({**a, "n_words": a["end_word"] - a["start_word"]})
-
-    return state.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(spans_of, SPANS)
+def spans_table(ids: np.ndarray, first: np.ndarray, doc: np.ndarray, hit: np.ndarray, length: int) -> dict[str, np.ndarray]:
+    """Spans that the windows of `length` words from `hit` (rising) cover. doc: each one's document; ids, first: the documents' identifiers and first words."""
+    if not len(hit):
+        return {k: np.zeros(0, np.int64) for k in ("doc_id", "start_word", "end_word", "n_words")}
+    begin = np.concatenate([[True], (hit[1:] > hit[:-1] + length) | (doc[1:] != doc[:-1])])
+    end = np.concatenate([begin[1:], [True]])
+    start, stop = hit[begin] - first[doc[begin]], hit[end] + length - first[doc[end]]
+    return {"doc_id": ids[doc[begin]], "start_word": start, "end_word": stop, "n_words": stop - start}

@@ -1,17 +1,20 @@
 """Near-duplicates by an inverted join of MinHash signatures (operator 3).
 
 A signature has a coordinate for each of `coordinates` hash functions: the least hash of the document's word shingles. Every
-coordinate-value pair is a posting list. Prefix: lists are ranked by length over the whole corpus, and a document is posted
-only under the coordinates - matches + 1 shortest of its lists; two signatures that agree in at least `matches` coordinates
-meet in one of these, so long lists of documents that share little are never merged. Skip: within a list, the first document
-left is compared with all others, by counting collisions of their whole signatures at once instead of merging the other
-lists, and those that match join its tree and are skipped from then on. So each list gives a forest that connects exactly
-what its matching pairs connect, and a group of n copies n - 1 edges rather than n * (n - 1) / 2.
+coordinate-value pair is a posting list, whose length a first round counts. Prefix: two signatures that agree in `matches` coordinates
+agree in one of the coordinates - matches + 1 shortest of a document's lists, so a document is posted under these alone, and the long
+lists of documents that share little are never merged. Skip: collisions with the long lists are counted for the members of a short
+one alone, by probing their signatures, and a short list that is long within its worker is cut once more, by the lists within
+it: its members meet only in the shortest of those. Documents of one signature are posted as one.
+
+near_duplicate_pairs retains every pair above the threshold. Groups need less: near_duplicates compares the first document left of
+a list with all others; those that match join its tree and are skipped from then on. So each list gives a forest that connects exactly
+what its matching pairs connect, and a group of n documents n - 1 edges rather than n * (n - 1) / 2.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +24,15 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..shared import Shared
-from .blocks import Answers, distinct, pack, rows, shared_keys, unpack
+from .blocks import _ROUTED, ROUTED, Distinct, U, ask, joined_columns, numbered, pack, pack_columns, routed, rows, said_of, uniform, unpack, worker_count
 from .words import mix, windows, words
 
 COORDINATES, MATCHES, SHINGLE = 64, 32, 3
 _SIG = {"block": pa.int64(), "n_docs": pa.int64(), "doc_ids": pa.binary(), "signatures": pa.binary()}
 SIG = "block bigint, n_docs bigint, doc_ids binary, signatures binary"
 BLOCK_DOCS = 1 << 14
+#: A posting list of more rows is cut by the lists within it.
+LONG = 256
 
 
 def signatures(hashes: np.ndarray, first: np.ndarray, coordinates: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,15 +79,22 @@ def _leaders(ids: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, first[inverse.ravel()]
 
 
-def _forest(sig: np.ndarray, matches: int) -> tuple[list[int], list[int], list[int]]:
-    """Edges between the rows of one posting list that connect what its matching pairs connect."""
+def _equal(sig: np.ndarray, row: int, others: np.ndarray) -> np.ndarray:
+    return np.concatenate([(sig[others[i : i + 4096]] == sig[row]).sum(1) for i in range(0, len(others), 4096)]) if len(others) else np.zeros(0, np.int64)
+
+
+Found = tuple[list[int], list[int], list[int]]
+
+
+def forest(sig: np.ndarray, matches: int) -> Found:
+    """Edges between the rows of one posting list, and their matches, that connect what its matching pairs connect."""
     left, a, b, m = np.arange(len(sig)), [], [], []
     frontier: list[int] = []
     while len(left):
         if not frontier:
             frontier, left = [int(left[0])], left[1:]
         p = frontier.pop()
-        same = np.concatenate([(sig[left[i : i + 4096]] == sig[p]).sum(1) for i in range(0, len(left), 4096)]) if len(left) else np.zeros(0, int)
+        same = _equal(sig, p, left)
         hit = same >= matches
         new = left[hit].tolist()
         a += [p] * len(new)
@@ -93,15 +105,62 @@ def _forest(sig: np.ndarray, matches: int) -> tuple[list[int], list[int], list[i
     return a, b, m
 
 
-def near_duplicate_pairs(docs: DataFrame, coordinates: int = COORDINATES, matches: int = MATCHES, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pairs (doc_a, doc_b, matches) of signatures that agree in at least `matches` coordinates: of all such pairs, enough to connect what they connect.
+def every_pair(sig: np.ndarray, matches: int) -> Found:
+    """All pairs of the rows of one posting list that match, and their matches."""
+    a, b, m = [], [], []
+    for p in range(len(sig) - 1):
+        same = _equal(sig, p, np.arange(p + 1, len(sig)))
+        hit = np.flatnonzero(same >= matches)
+        a += [p] * len(hit)
+        b += (hit + p + 1).tolist()
+        m += same[hit].tolist()
+    return a, b, m
 
-    Rows without an identifier and texts without a word (null and empty ones) are in no pair. Rows that share an identifier
-    are one document to whoever reads the pairs. Other columns are ignored; an empty table gives no pair.
-    """
+
+def _lists(keys: np.ndarray, count: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of each row's n shortest lists, where another row has them too. Ties in the order of the keys, the same everywhere."""
+    order = np.lexsort((keys, count), axis=1)[:, :n]
+    row, at = np.repeat(np.arange(len(keys)), order.shape[1]), order.ravel()
+    posted = count[row, at] > 1
+    return row[posted], keys[row[posted], at[posted]]
+
+
+def _compared(key: np.ndarray, doc: np.ndarray, sig: np.ndarray, matches: int, way: Callable[..., Found], cut: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, row, matches) of the rows of sig that meet in posting lists (key, doc)."""
+    by = np.lexsort((doc, key))
+    key, doc = key[by], doc[by]
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, len(key)))
+    a, b, m = [], [], []
+    two = begin[size == 2]
+    for lo in range(0, len(two), 1 << 16):
+        p, q = doc[two[lo : lo + (1 << 16)]], doc[two[lo : lo + (1 << 16)] + 1]
+        same = (sig[p] == sig[q]).sum(1)
+        for out, x in ((a, p), (b, q), (m, same)):
+            out.append(x[same >= matches])
+    seen: set[bytes] = set()
+    for lo, n in zip(begin[size > 2], size[size > 2]):
+        members = doc[lo : lo + n]
+        if (mark := members.tobytes()) in seen:
+            continue
+        seen.add(mark)
+        if cut and n > LONG:
+            own = sig[members]
+            keys = _keys(own)
+            d = Distinct(keys.ravel(), np.zeros(keys.size, U), np.zeros(keys.size, np.int64))
+            row, k = _lists(keys, d.count[d.inverse].reshape(keys.shape), sig.shape[1] - matches + 1)
+            p, q, same = _compared(k, row, own, matches, way, False)
+        else:
+            p, q, same = (np.array(x, np.int64) for x in way(sig[members], matches))
+        for out, x in ((a, members[p]), (b, members[q]), (m, same)):
+            out.append(x)
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, m))
+
+
+def _edges(work: Shared, docs: DataFrame, coordinates: int, matches: int, shingle: int, id_col: str, text_col: str, way: Callable[..., Found]) -> DataFrame:
+    """(doc_a, doc_b, matches), doc_a < doc_b: what `way` finds in the lists; documents of one signature are linked to the first of them in their block."""
     if not 1 <= matches <= coordinates:
         raise ValueError("matches must lie between 1 and coordinates")
-    work = Shared(docs.sparkSession, "minhash")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -122,103 +181,92 @@ def near_duplicate_pairs(docs: DataFrame, coordinates: int = COORDINATES, matche
         if held:
             yield block()
 
-    named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    blocks = work.written(named.mapInArrow(sign, SIG), "signatures")
-    buckets = max(1, -(-(blocks.agg(F.sum("n_docs")).first()[0] or 0) * coordinates // (2 << 20)))
+    named = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    raw = work.written(named.mapInArrow(sign, SIG), "signatures")
+    n_blocks, total = raw.agg(F.count("*"), F.sum("n_docs")).first()
+    blocks, workers = numbered(raw), worker_count(n_blocks, (total or 0) * coordinates)
 
-    def keys_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    def leaders(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         ids, sig = _read(row, coordinates)
-        lead, _ = _leaders(ids, sig)
-        return _keys(sig[lead]).ravel(), np.repeat(np.arange(len(lead), dtype=np.int32), coordinates)
+        lead, leader = _leaders(ids, sig)
+        return ids, sig, lead, leader
 
-    width = (1 << 64) // buckets + 1
+    def keys_of(row: dict) -> tuple:
+        _, sig, lead, _ = leaders(row)
+        hi = _keys(sig[lead]).ravel()
+        return hi, np.zeros(len(hi), U), np.repeat(np.arange(len(lead), dtype=np.int32), coordinates)
 
-    def post(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Postings by bucket; bucket -1: the edges from each signature's first row in the block to the others that have it."""
-        out = {"bucket": [], "block": [], "keys": [], "ids": [], "signatures": []}
-
-        def add(bucket: int, block: int, keys: np.ndarray, ids: np.ndarray, sig: np.ndarray) -> None:
-            for k, v in zip(out, (bucket, block, keys.tobytes(), ids.tobytes(), pack(sig))):
-                out[k].append(v)
+    counts = ask(work, "counts", blocks, keys_of, workers, "count")
+    owner = uniform(workers)
 
+    def post(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Postings (kind 0), the signatures that a worker needs for them (kind 1), and links between rows of one signature (kind 2)."""
+        out = []
+        _, place, said, _ = joined_columns(right["data"].to_pylist(), 4)
         for row in left.to_pylist():
-            ids, sig = _read(row, coordinates)
-            lead, leader = _leaders(ids, sig)
+            ids, _, lead, leader = leaders(row)
             other = np.flatnonzero(leader != np.arange(len(ids)))
-            if len(other):
-                add(-1, row["block"], ids[leader[other]].view(np.uint64), ids[other], np.zeros(0, np.uint32))
-            ids, sig = ids[lead], sig[lead]
+            out.append((2, row["block"], pack_columns(ids[leader[other]], ids[other])))
+            sig = _read(row, coordinates)[1][lead]
+            d = Distinct(*keys_of(row))
             keys = _keys(sig)
-            k, _, inverse = distinct(keys.ravel(), np.repeat(np.arange(len(ids), dtype=np.int32), coordinates))
-            _, count = Answers(right, buckets).read(k, False)
-            count = count[inverse].reshape(keys.shape)
-            # The corpus's shortest lists first; ties in the order of the keys, the same everywhere.
-            order = np.lexsort((keys, count), axis=1)[:, : coordinates - matches + 1]
-            doc, at = np.repeat(np.arange(len(ids)), order.shape[1]), order.ravel()
-            posted = count[doc, at] > 1
-            doc, key = doc[posted], keys[doc[posted], at[posted]]
-            by = np.argsort(key, kind="stable")
-            doc, key = doc[by], key[by]
-            cut = [0, *(np.searchsorted(key, np.array([i * width for i in range(1, buckets)], np.uint64)) if buckets > 1 else []), len(key)]
-            for i, (lo, hi) in enumerate(zip(cut[:-1], cut[1:])):
-                if hi > lo:
-                    used, back = np.unique(doc[lo:hi], return_inverse=True)
-                    add(i, row["block"], key[lo:hi], np.concatenate([back.astype(np.int64), ids[used]]), sig[used])
-        return pa.table({"bucket": pa.array(out["bucket"], pa.int32()), "block": pa.array(out["block"], pa.int64()), **{k: pa.array(out[k], pa.binary()) for k in ("keys", "ids", "signatures")}})
-
-    answers = shared_keys(blocks, keys_of, buckets, "count")
-    postings = work.written(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(post, "bucket int, block bigint, keys binary, ids binary, signatures binary"), "postings")
-
-    def merge(table: pa.Table) -> pa.Table:
-        a, b, m = [], [], []
-        parts = table.to_pylist()
-        if parts[0]["bucket"] < 0:
-            for x in parts:
-                a.append(np.frombuffer(x["keys"], np.int64))
-                b.append(np.frombuffer(x["ids"], np.int64))
-                m.append(np.full(len(a[-1]), coordinates))
-        else:
-            key, doc, ids, sig, base = [], [], [], [], 0
-            for x in parts:
-                key.append(np.frombuffer(x["keys"], np.uint64))
-                both = np.frombuffer(x["ids"], np.int64)
-                doc.append(both[: len(key[-1])] + base)
-                ids.append(both[len(key[-1]) :])
-                sig.append(unpack(x["signatures"], np.uint32).reshape(-1, coordinates))
-                base += len(ids[-1])
-            key, doc, ids, sig = (np.concatenate(x) for x in (key, doc, ids, sig))
-            by = np.lexsort((ids[doc], key))
-            key, doc = key[by], doc[by]
-            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            size = np.diff(np.append(begin, len(key)))
-            two = begin[size == 2]
-            for lo in range(0, len(two), 1 << 16):
-                p, q = doc[two[lo : lo + (1 << 16)]], doc[two[lo : lo + (1 << 16)] + 1]
-                same = (sig[p] == sig[q]).sum(1)
-                a.append(ids[p[same >= matches]])
-                b.append(ids[q[same >= matches]])
-                m.append(same[same >= matches])
-            seen: set[bytes] = set()
-            for lo, n in zip(begin[size > 2], size[size > 2]):
-                members = doc[lo : lo + n]
-                if (mark := members.tobytes()) in seen:
-                    continue
-                seen.add(mark)
-                p, q, same = _forest(sig[members], matches)
-                a.append(ids[members[p]] if p else np.zeros(0, np.int64))
-                b.append(ids[members[q]] if q else np.zeros(0, np.int64))
-                m.append(np.array(same, np.int64))
-        a, b, m = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, m))
+            count = said_of(len(d.hi), place.astype(np.int64), said.astype(np.int64))[d.inverse].reshape(keys.shape)
+            doc, key = _lists(keys, count, coordinates - matches + 1)
+            record = row["block"] << 32 | doc
+            out.append((0, row["block"], pack_columns(key, record)))
+            need = np.unique(owner(key) * len(lead) + doc) if len(doc) else np.zeros(0, np.int64)
+            to, doc = need // max(1, len(lead)), need % max(1, len(lead))
+            halves = np.ascontiguousarray(np.pad(sig[doc], ((0, 0), (0, coordinates % 2)))).view(U)
+            out.append((1, row["block"], pack_columns(to, row["block"] << 32 | doc, ids[lead][doc], *halves.T)))
+        return pa.table({"kind": pa.array([k for k, _, _ in out], pa.int32()), "worker": pa.array([w for _, w, _ in out], pa.int64()), "source": pa.array([w for _, w, _ in out], pa.int64()), "data": pa.array([d for _, _, d in out], pa.binary())})
+
+    asked = blocks.groupBy("block").cogroup(counts.table.withColumnRenamed("worker", "block").groupBy("block"))
+    posted = work.written(asked.applyInArrow(post, "kind int, " + ROUTED), "postings")
+    work.dropped("counts-answers")
+    work.dropped("signatures")
+    wide = 3 + (coordinates + 1) // 2
+
+    def pairs(a: np.ndarray, b: np.ndarray, m: np.ndarray) -> pa.Table:
         e = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), m], 1)[a != b], axis=0)
         return pa.table({"doc_a": e[:, 0], "doc_b": e[:, 1], "matches": e[:, 2].astype(np.int32)})
 
-    return postings.groupBy("bucket").applyInArrow(merge, "doc_a bigint, doc_b bigint, matches int").distinct()
+    def merge(left: pa.Table, right: pa.Table) -> pa.Table:
+        key, record = joined_columns(left["data"].to_pylist(), 2)
+        _, known, ids, *halves = joined_columns(right["data"].to_pylist(), wide)
+        sig = np.ascontiguousarray(np.stack(halves, 1)).view(np.uint32)[:, :coordinates] if len(known) else np.zeros((0, coordinates), np.uint32)
+        by = np.argsort(known)
+        a, b, m = _compared(key, by[np.searchsorted(known[by], record)] if len(record) else np.zeros(0, np.int64), np.ascontiguousarray(sig), matches, way)
+        ids = ids.view(np.int64)
+        return pairs(ids[a], ids[b], m)
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                a, b = (x.view(np.int64) for x in joined_columns([data], 2))
+                yield from pairs(a, b, np.full(len(a), coordinates)).to_batches()
+
+    edge = "doc_a bigint, doc_b bigint, matches int"
+    lists = routed(posted.where("kind = 0").select("worker", "source", "data"), 2, lambda key, *_: owner(key), workers)
+    needed = routed(posted.where("kind = 1").select("worker", "source", "data"), wide, lambda to, *_: to.astype(np.int64), workers)
+    met = lists.groupBy("worker").cogroup(needed.groupBy("worker")).applyInArrow(merge, edge)
+    return met.union(posted.where("kind = 2").select("data").mapInArrow(linked, edge)).distinct()
+
+
+def near_duplicate_pairs(docs: DataFrame, coordinates: int = COORDINATES, matches: int = MATCHES, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Pairs (doc_a, doc_b, matches), doc_a < doc_b, of signatures that agree in at least `matches` coordinates.
+
+    Every matching pair of two different signatures is there, for the first document of each signature in a block of documents; further documents of a
+    signature are paired with that first one only. Rows without an identifier and texts without a word (null and empty ones) are in no
+    pair. Rows that share an identifier are one document to whoever reads the pairs, and no pair. Texts may be of any length; equal
+    numbers of matches are no tie, as nothing is ranked. Other columns are ignored; an empty table gives no pair.
+    """
+    return _edges(Shared(docs.sparkSession, "minhash"), docs, coordinates, matches, shingle, id_col, text_col, every_pair)
 
 
 def near_duplicates(docs: DataFrame, coordinates: int = COORDINATES, matches: int = MATCHES, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, keep_id): documents of a group of near-duplicates and the group's smallest identifier, which stays and has no row.
 
-    A group is a connected component of the pairs that near_duplicate_pairs is about; what it says of nulls, empty texts and repeated identifiers holds here.
+    A group is a connected component of near_duplicate_pairs' pairs; what it says of nulls, empty and long texts and repeated identifiers holds here.
     """
-    pairs = near_duplicate_pairs(docs, coordinates, matches, shingle, id_col, text_col)
+    pairs = _edges(Shared(docs.sparkSession, "minhash"), docs, coordinates, matches, shingle, id_col, text_col, forest)
     return connected_components(pairs, "doc_a", "doc_b", "doc_id", "keep_id").where("doc_id <> keep_id")

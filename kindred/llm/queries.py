@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_packing": packing.oracle(), "op7_mixing": mixing.ORACLE, "op10_exact": exact.ORACLE}
+    return {"op1_packing": packing.oracle(), "op7_mixing": mixing.ORACLE, "op10_exact": exact.ORACLE, "op4_recompression": recompression.oracle(), "op8_suffix_array": recompression.oracle()}

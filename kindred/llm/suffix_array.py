@@ -1,23 +1,18 @@
 """Repeated passages by a distributed difference-cover suffix array (operator 8).
 
-Kärkkäinen and Sanders's DC3 over all documents' words, each document ended by a sign of its own, with the discarding of
-Puglisi, Smyth and Turpin: a name that only one document has starts no passage that repeats across documents, and leaves the recursion.
-
-1. Sample the suffixes that start at places 1 and 2 modulo 3 of their document. Sort all sampled triples (range-partitioned
-   buckets merge each block's sorted run) and name them by rank.
-2. Recurse on the string of names, that of class 1 before that of class 2: sample it alike, sort triples of names, name
-   them. Each level's names cover three times as many words.
-3. The recursion ends at the level whose names, from the farthest sample that the difference cover can ask for, still lie
-   within the wanted length; at that level all places are sorted, not only a sample.
-4. Keep the suffixes that may have an equal neighbour as candidates: whatever their classes, two suffixes reach sampled places after the same few words, so
-   a suffix may have an equal neighbour only if some sample within that distance kept its name.
-5. Look up which candidates' first min_words words, as a 64-bit fingerprint, another document has too.
-
-No suffix array is made: suffixes are neither merged by rank nor compared with their neighbours. The names are a filter, and
-the fingerprint join of step 5, the same as operator 4's, decides the result.
-
-Triples are ordered by fingerprint, not by alphabet. Any total order puts equal prefixes side by side, and this one spreads
-frequent words evenly over the ranges. Order beyond min_words is not computed, as step 5 compares only so far.
+Kärkkäinen and Sanders's DC3 over all documents' words.
+
+1. Discarding, after Puglisi, Smyth and Turpin: the triples at places 1 and 2 modulo 3 of each document are sorted; a suffix that
+   doesn't begin, within its first min_words words, with triples that other documents have too can't share these words, and
+   leaves. What stays are texts: maximal runs of suffixes that stay. A text ends with a sign of its own, which is less than all words.
+2. Words are named by their rank among all words left (in the order of their 64-bit fingerprints: any total order serves).
+3. Down: the triples at places 1 and 2 modulo 3 of every text are sorted by range partitions and named by rank. While names repeat,
+   the texts of names, those of class 1 before those of class 2, are the next level's, whose suffixes are ranked first.
+   A level that fits one task is ranked there, by doubling.
+4. Up: the suffixes of class 0 are merged with those sampled: with class 1 by (symbol, rank of the next suffix), with class 2 by
+   (symbol, symbol, rank of the next but one). One sort does both; a suffix's rank is the number of those before it.
+5. All suffixes lie in their order, and neighbours' first min_words words are compared, by 64-bit fingerprints: a wrong answer
+   needs a collision between neighbours, of which there are fewer than words. A run of neighbours that agree is one passage, shared if two documents have it.
 """
 
 from __future__ import annotations
@@ -25,123 +20,416 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..shared import Shared
-from .blocks import _STATE, STATE, Answers, Docs, answered, bucket_count, distinct, repeated_spans, shared_keys, state_keys, state_row, token_blocks, unpack, window_state
-from .words import mix, powers
+from .blocks import (
+    _ROUTED,
+    ROUTED,
+    SPANS,
+    Distinct,
+    Docs,
+    U,
+    ask,
+    heard,
+    joined_columns,
+    numbered,
+    order_of,
+    pack_columns,
+    ranges,
+    routed,
+    rows,
+    said_of,
+    spans_table,
+    token_blocks,
+    unpack_columns,
+    worker_count,
+)
+from .recompression import listed
+from .words import mix, powers, windows
 
 MIN_WORDS = 50
-
-
-def levels(min_words: int) -> int:
-    """How often names can be tripled: from a sample at most 3**(n-1) - 1 words on, 3**n words must lie within min_words."""
-    n = 1
-    while 3**n - 1 + 3 ** (n + 1) <= min_words:
-        n += 1
-    return n
-
-
-def _triples(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    p = powers(4)
-    return mix(a * p[1] + b * p[2] + c * p[3])
-
-
-def _string(at: np.ndarray, length: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of places in documents: which are in the sample that the level's string consists of, and where in that string."""
-    keep, j, m = np.ones(len(at), bool), at.copy(), length.copy()
-    for _ in range(level):
-        one = (m + 1) // 3
-        keep &= j % 3 > 0
-        j = np.where(j % 3 == 1, (j - 1) // 3, one + (j - 2) // 3)
-        m = one + m // 3
-    return keep, j
-
-
-def _sampled(docs: Docs, last: bool) -> np.ndarray:
-    """Places of the first level's triples. At the last level all places are named."""
-    return np.flatnonzero((docs.left() >= 3) & ((docs.at() % 3 > 0) | last))
-
-
-def _first(row: dict, last: bool) -> tuple[np.ndarray, np.ndarray]:
+#: Symbols of a level that one task ranks alone.
+BASE = 1 << 21
+NAME_BITS, HALF = U(42), U(21)
+#: texts: document's place in its block, identifier, first word; lengths of the texts, with their end signs; their symbols.
+_STATE = {"block": pa.int64(), "texts": pa.binary(), "lengths": pa.binary(), "symbols": pa.binary(), "n_texts": pa.int64(), "n_symbols": pa.int64()}
+STATE = "block bigint, texts binary, lengths binary, symbols binary, n_texts bigint, n_symbols bigint"
+
+
+def key(a: np.ndarray, b: np.ndarray, c: np.ndarray, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(which, a, b, c) in two numbers of the same order; a, b and c below 2**42."""
+    return U(which) << U(63) | a << HALF | b >> HALF, (b & U((1 << 21) - 1)) << NAME_BITS | c
+
+
+class Texts:
+    """A block's texts at one level: symbols on end, and where each text begins."""
+
+    def __init__(self, row: dict):
+        self.symbols, = unpack_columns(row["symbols"], 1)
+        self.lengths = unpack_columns(row["lengths"], 1)[0].astype(np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.lengths)])
+        self.end = np.repeat(self.first[1:], self.lengths)
+        self.place = np.arange(len(self.symbols)) - np.repeat(self.first[:-1], self.lengths)
+
+    def sampled(self) -> tuple[np.ndarray, np.ndarray]:
+        """The places of class 1, then those of class 2, of each text, and how many a text has."""
+        one, two = (self.lengths + 1) // 3, self.lengths // 3
+        n = one + two
+        owner = np.repeat(np.arange(len(n)), n)
+        j = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        return self.first[owner] + np.where(j < one[owner], 1 + 3 * j, 2 + 3 * (j - one[owner])), n
+
+    def following(self, values: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
+        """values, `step` places on; 0 beyond the text's end."""
+        inside = at + step < self.end[at]
+        return np.where(inside, values[np.minimum(at + step, max(len(values) - 1, 0))], U(0)) if len(at) else np.zeros(0, U)
+
+    def triples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at, _ = self.sampled()
+        return *key(self.symbols[at], self.following(self.symbols, at, 1), self.following(self.symbols, at, 2)), at
+
+    def merging(self, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The keys of the merge, (hi, lo), the place that each is about, and whether it is one of class 0. ranks: of sampled places, 0 for others."""
+        kind = self.place % 3
+        at = np.concatenate([np.flatnonzero(kind < 2), np.flatnonzero(kind != 1)])
+        n = int((kind < 2).sum())
+        a, b = at[:n], at[n:]
+        first = key(self.symbols[a], self.following(ranks, a, 1), np.zeros(len(a), U))
+        second = key(self.symbols[b], self.following(self.symbols, b, 1), self.following(ranks, b, 2), 1)
+        return np.concatenate([first[0], second[0]]), np.concatenate([first[1], second[1]]), at, kind[at] == 0
+
+
+def _triples(docs: Docs) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the triples of class 1 and 2, and their fingerprints."""
+    p, t = powers(4), docs.tokens
+    at = np.flatnonzero((docs.left() >= 3) & (docs.at() % 3 > 0))
+    return at, mix(t[at] * p[1] + t[at + 1] * p[2] + t[at + 2] * p[3])
+
+
+def _steps(on: np.ndarray) -> np.ndarray:
+    """For each place, how many of it, the third after it, the sixth and so on are on without a break."""
+    n = -(-max(len(on), 1) // 3) * 3
+    grid = np.zeros(n, bool)
+    grid[: len(on)] = on
+    grid = grid.reshape(-1, 3)
+    at = np.arange(len(grid))[:, None]
+    off = np.where(grid, len(grid), at)
+    off = np.minimum.accumulate(off[::-1], axis=0)[::-1]
+    return (off - at).ravel()[: len(on)]
+
+
+def _staying(docs: Docs, shared: np.ndarray, length: int) -> np.ndarray:
+    """Words from which `length` words may be shared: from one of the first three, all triples, three words apart, are."""
+    steps, n = _steps(shared), len(docs.tokens)
+    enough = np.concatenate([steps >= (length - 2) // 3, np.zeros(2, bool)])
+    return np.flatnonzero((docs.left() >= length) & (enough[:n] | enough[1 : n + 1] | enough[2:]))
+
+
+def _texts(row: dict, shared: np.ndarray, length: int) -> dict:
     docs = Docs(row)
-    at, t = _sampled(docs, last), docs.tokens
-    return _triples(t[at], t[at + 1], t[at + 2]), docs.doc[at]
-
-
-def _next(row: dict, at: np.ndarray, names: np.ndarray, level: int, last: bool) -> dict:
-    """Triples of the level's names at the next level's sample; at: the places whose names are shared."""
-    lengths = unpack(row["lengths"], np.int64)
-    first = np.concatenate([[0], np.cumsum(lengths)])
-    doc = np.searchsorted(first, at, "right") - 1
-    keep, j = _string(at - first[doc], lengths[doc], level)
-    step = 3**level
-    found = keep & ((j % 3 > 0) | last)
-    places = []
-    for k in (1, 2):
-        p = np.minimum(np.searchsorted(at, at + k * step), max(len(at) - 1, 0))
-        found &= (at[p] == at + k * step) & (doc[p] == doc) if len(at) else found
-        places.append(p)
-    keys = _triples(names, names[places[0]], names[places[1]])[found]
-    return state_row(row, at[found], keys)
+    at = _staying(docs, shared, length)
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(at) > 1) | (docs.doc[at[1:]] != docs.doc[at[:-1]])
+    begin = at[new]
+    last = at[np.append(new[1:], True)] if len(at) else at
+    size = last - begin + length
+    owner = np.repeat(np.arange(len(size)), size)
+    word = docs.tokens[np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + begin[owner]]
+    doc = docs.doc[begin].astype(np.int64)
+    return {"block": row["block"], "texts": pack_columns(doc, docs.ids[doc], begin - docs.first[doc]), "lengths": pack_columns(size), "symbols": pack_columns(word), "n_texts": len(size), "n_symbols": len(word)}
+
+
+def _replaced(row: dict, symbols: np.ndarray, lengths: np.ndarray | None = None) -> dict:
+    changed = {} if lengths is None else {"lengths": pack_columns(lengths)}
+    return {**row, **changed, "symbols": pack_columns(symbols), "n_symbols": len(symbols)}
+
+
+def _doubled(texts: list[Texts]) -> np.ndarray:
+    """Ranks, from 1, of all suffixes of texts that end with a symbol of their own, by doubling."""
+    symbols = np.concatenate([t.symbols for t in texts])
+    lengths = np.concatenate([t.lengths for t in texts])
+    n = len(symbols)
+    end = np.repeat(np.cumsum(lengths), lengths)
+    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64) + 1
+    step = 1
+    while n and rank.max() < n:
+        at = np.arange(n) + step
+        second = np.where(at < end, rank[np.minimum(at, n - 1)], 0)
+        both = rank * (n + 1) + second
+        order = np.argsort(both, kind="stable")
+        new = np.ones(n, bool)
+        new[1:] = both[order][1:] != both[order][:-1]
+        rank[order] = np.cumsum(new)
+        step *= 2
+    return rank
+
+
+def _in_one_task(state: DataFrame) -> DataFrame:
+    """The ranks of all suffixes of a level of BASE symbols at most."""
+
+    def run(table: pa.Table) -> pa.Table:
+        found = table.sort_by("block").to_pylist()
+        texts = [Texts(r) for r in found]
+        ranks = _doubled(texts)
+        cut = np.concatenate([[0], np.cumsum([len(t.symbols) for t in texts])])
+        return pa.table({"block": pa.array([r["block"] for r in found], pa.int64()), "ranks": pa.array([pack_columns(ranks[a:b].astype(U)) for a, b in zip(cut[:-1], cut[1:])], pa.binary())})
+
+    return state.select("block", "lengths", "symbols", F.lit(0).alias("all")).groupBy("all").applyInArrow(run, RANKS)
+
+
+RANKS = "block bigint, ranks binary"
+_RANKS = {"block": pa.int64(), "ranks": pa.binary()}
+
+
+def _sampled_ranks(t: Texts, ranks: bytes) -> np.ndarray:
+    out = np.zeros(len(t.symbols), U)
+    out[t.sampled()[0]] = unpack_columns(ranks, 1)[0]
+    return out
+
+
+def _merged(work: Shared, name: str, both: DataFrame, workers: int) -> DataFrame:
+    """Ranks of all suffixes of a level. both: its state with `ranks`, those of the next level's suffixes."""
+
+    def keys_of(row: dict) -> tuple:
+        t = Texts(row)
+        hi, lo, at, _ = t.merging(_sampled_ranks(t, row["ranks"]))
+        return hi, lo, at
+
+    def records(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                t = Texts(row)
+                hi, lo, _, zero = t.merging(_sampled_ranks(t, row["ranks"]))
+                if len(hi):
+                    order = order_of(hi, lo)
+                    yield rows(_ROUTED, worker=[row["block"]], source=[row["block"]], data=[pack_columns(hi[order], lo[order], (order * 2 + zero[order]).astype(U), np.full(len(hi), row["block"]))])
+
+    def place(table: pa.Table) -> pa.Table:
+        """(block, record, places of class 0 before it, places of the other class before it, worker), by sort: that of class 1 first."""
+        me = table["worker"][0].as_py()
+        hi, lo, tag, block = joined_columns(table.sort_by("source")["data"].to_pylist(), 4)
+        order = order_of(hi, lo)
+        zero, second = (tag[order] & U(1)).astype(bool), (hi[order] >> U(63)).astype(bool)
+        z, o = np.cumsum(zero) - zero, np.cumsum(~zero) - ~zero
+        start = int((~second).sum())  # the second sort counts from here
+        for x, of in ((z, zero), (o, ~zero)):
+            x[start:] -= int(of[:start].sum())
+        counts = pack_columns(np.array([zero[:start].sum(), (~zero[:start]).sum(), zero[start:].sum(), (~zero[start:]).sum()], np.int64))
+        by = np.lexsort((tag[order], block[order]))
+        data = pack_columns(block[order][by], tag[order][by] >> U(1), z[by], o[by], np.full(len(by), me))
+        return pa.table({"worker": pa.array([me, -1 - me], pa.int64()), "source": pa.array([me, me], pa.int64()), "data": pa.array([data, counts], pa.binary())})
+
+    to = ranges(both, keys_of, workers)
+    sorted_ = work.written(routed(both.mapInArrow(records, ROUTED), 4, to, workers).groupBy("worker").applyInArrow(place, ROUTED), f"{name}-sorted")
+    counts = np.zeros((workers, 4), np.int64)
+    for r in sorted_.where("worker < 0").collect():  # four numbers a worker
+        counts[-1 - r["worker"]] = unpack_columns(r["data"], 1)[0].astype(np.int64)
+    base = np.cumsum(counts, 0) - counts
+    back = routed(sorted_.where("worker >= 0"), 5, lambda block, *_: block.astype(np.int64), workers)
+
+    def ranked(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        _, record, z, o, worker = (x.astype(np.int64) for x in joined_columns(right["data"].to_pylist(), 5))
+        for row in left.to_pylist():
+            t = Texts(row)
+            sampled = _sampled_ranks(t, row["ranks"]).astype(np.int64)
+            _, _, at, zero = t.merging(sampled.astype(U))
+            second = record >= int((t.place % 3 < 2).sum())
+            before_zero = z + base[worker, np.where(second, 2, 0)]
+            before_other = o + base[worker, np.where(second, 3, 1)]
+            rank = np.where(t.place % 3 == 0, 1, sampled)
+            mine = zero[record]
+            # Class 0: those of its own class before it, once, and those of either other class. Others: those of class 0, besides the sampled.
+            for on, value in ((mine & ~second, before_zero + before_other), (mine & second, before_other), (~mine, before_zero)):
+                rank[at[record[on]]] += value[on]
+            out.append({"block": row["block"], "ranks": pack_columns(rank.astype(U))})
+        return pa.table({k: pa.array([x[k] for x in out], kind) for k, kind in _RANKS.items()})
+
+    return work.written(both.groupBy("block").cogroup(back.withColumnRenamed("worker", "block").groupBy("block")).applyInArrow(ranked, RANKS), f"{name}-ranks")
+
+
+def suffix_ranks(work: Shared, state: DataFrame, blocks: int) -> DataFrame:
+    """(block, ranks) of all suffixes of all texts of state, from 1, in the order of their symbols."""
+    stack = []
+    while True:
+        level, symbols = len(stack), state.agg(F.sum("n_symbols")).first()[0] or 0
+        if symbols <= BASE:
+            ranks = work.written(_in_one_task(state), f"ranks{level}")
+            break
+        workers = worker_count(blocks, symbols)
+        keys_of = lambda row: Texts(row).triples()
+        answers = ask(work, f"down{level}", state, keys_of, workers, "all", ranges(state, keys_of, workers))
+
+        def onward(row: dict, place: np.ndarray, said: np.ndarray) -> dict:
+            t = Texts(row)
+            d = Distinct(*t.triples())
+            return _replaced(row, said_of(len(d.hi), place, said)[d.inverse].astype(U), t.sampled()[1])
+
+        stack.append((state, workers))
+        state = work.written(heard(state, answers, onward, _STATE, STATE), f"down{level}")
+        work.dropped(f"down{level}-answers")
+        if answers.names == (state.agg(F.sum("n_symbols")).first()[0] or 0):
+            ranks = state.select("block", F.col("symbols").alias("ranks"))
+            break
+    while stack:
+        state, workers = stack.pop()
+        ranks = _merged(work, f"up{len(stack)}", state.join(ranks.hint("merge"), "block"), workers)
+        work.dropped(f"up{len(stack)}-sorted")
+        work.dropped(f"down{len(stack)}")
+    return ranks
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Spans (doc_id, start_word, end_word, n_words) whose every min_words-word window, or the one it lies in, another document has too.
+    """Spans (doc_id, start_word, end_word, n_words) of which every word lies in a window of min_words words that another document has too.
 
     Words are those of words.py. Spans of a document don't overlap or touch. All rows count: copies of a whole document are
-    spans over it, and two rows with one identifier are two documents. A repeat within one document alone is none.
-    Null identifiers are left out; null, empty and shorter texts have no spans; other columns are ignored; an empty table gives no row.
+    spans over it, and two rows with one identifier, and repeated rows, are documents of their own. A repeat within one document
+    alone is none. All holders of a passage are listed alike, so there are no ties. Null identifiers are left out; null, empty and
+    shorter texts have no spans; texts may be of any length; other columns are ignored; an empty table gives no row.
     """
     if min_words < 5:
         raise ValueError("min_words must be at least 5")
     work = Shared(docs.sparkSession, "suffix-array")
-    depth = levels(min_words)
-    blocks = work.written(token_blocks(docs, id_col, text_col), "blocks")
-    buckets = bucket_count(blocks)
-    cover = 3 ** (depth - 1) - 1
-
-    def survivors(at: np.ndarray, keys: np.ndarray, doc: np.ndarray, answers: Answers) -> tuple[np.ndarray, np.ndarray]:
-        k, _, inverse = distinct(keys, doc)
-        _, names = answers.read(k)
-        names = names[inverse]
-        return at[names > 0], names[names > 0]
-
-    def after_first(row: dict, answers: Answers):
-        docs_ = Docs(row)
-        at = _sampled(docs_, depth == 1)
-        t = docs_.tokens
-        at, names = survivors(at, _triples(t[at], t[at + 1], t[at + 2]), docs_.doc[at], answers)
-        return _next(row, at, names, 1, depth == 2) if depth > 1 else state_row(row, at, names)
-
-    state = work.written(answered(blocks, shared_keys(blocks, lambda row: _first(row, depth == 1), buckets, "name"), buckets, after_first), "level1")
-    for level in range(2, depth + 1):
-
-        def after(row: dict, answers: Answers, level: int = level):
-            keys, doc = state_keys(row)
-            at, names = survivors(np.cumsum(unpack(row["at"], np.uint32).astype(np.int64)), keys, doc, answers)
-            return _next(row, at, names, level, depth == level + 1) if level < depth else state_row(row, at, names)
-
-        state = work.written(answered(state, shared_keys(state, state_keys, buckets, "name"), buckets, after), f"level{level}")
-        work.dropped(f"level{level - 1}")
-
-    def merged(left: dict, right: dict) -> dict:
-        docs_ = Docs(left)
-        named = np.zeros(len(docs_.tokens) + cover + 1, bool)
-        named[np.cumsum(unpack(right["at"], np.uint32).astype(np.int64))] = True
-        candidate = np.zeros(len(docs_.tokens), bool)
-        for d in range(cover + 1):
-            candidate |= named[d : d + len(candidate)]
-        return window_state(left, docs_, candidate & (docs_.left() >= min_words), min_words)
-
-    final = work.written(_joined(blocks, state, merged), "windows")
-    work.dropped("blocks")
-    work.dropped(f"level{depth}")
-    return repeated_spans(final, buckets, min_words)
-
-
-def _joined(blocks: DataFrame, state: DataFrame, f) -> DataFrame:
-    def both(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = [f(x, y) for x, y in zip(left.to_pylist(), right.to_pylist())]
-        return pa.table({k: pa.array([x[k] for x in found], t) for k, t in _STATE.items()})
-
-    return blocks.groupBy("block").cogroup(state.groupBy("block")).applyInArrow(both, STATE)
+    raw = work.written(token_blocks(docs, id_col, text_col), "raw")
+    n_blocks, total = raw.agg(F.count("*"), F.sum("n_words")).first()
+    blocks = numbered(raw)
+    workers = worker_count(n_blocks, (total or 0) * 2 // 3)
+
+    def first(row: dict) -> tuple:
+        d = Docs(row)
+        at, hi = _triples(d)
+        return hi, np.zeros(len(hi), U), d.doc[at]
+
+    def stay(row: dict, place: np.ndarray, said: np.ndarray) -> dict:
+        d = Docs(row)
+        at, hi = _triples(d)
+        known = Distinct(hi, np.zeros(len(hi), U), d.doc[at])
+        shared = np.zeros(len(d.tokens), bool)
+        shared[at[said_of(len(known.hi), place, said)[known.inverse] > 0]] = True
+        return _texts(row, shared, min_words)
+
+    state = work.written(heard(blocks, ask(work, "triples", blocks, first, workers, "shared"), stay, _STATE, STATE), "texts")
+    work.dropped("triples-answers")
+    work.dropped("raw")
+    most, total = state.agg(F.max("n_texts"), F.sum("n_symbols")).first()
+    workers, most = worker_count(n_blocks, total or 0), most or 0
+    ends = n_blocks * most
+
+    def words_of(row: dict) -> tuple:
+        hi, = unpack_columns(row["symbols"], 1)
+        return hi, np.zeros(len(hi), U), np.zeros(len(hi), np.int64)
+
+    def named(row: dict, place: np.ndarray, said: np.ndarray) -> dict:
+        hi, lo, doc = words_of(row)
+        d = Distinct(hi, lo, doc)
+        word = (said_of(len(d.hi), place, said)[d.inverse] + ends).astype(U)
+        lengths = unpack_columns(row["lengths"], 1)[0].astype(np.int64)
+        sign = (row["block"] * most + 1 + np.arange(len(lengths))).astype(U)
+        return _replaced(row, np.insert(word, np.cumsum(lengths), sign), lengths + 1)
+
+    level0 = work.written(heard(state, ask(work, "words", state, words_of, workers, "all"), named, _STATE, STATE), "level0")
+    work.dropped("words-answers")
+    ranks = suffix_ranks(work, level0, n_blocks)
+    final = state.select("block", "texts", "lengths", "symbols").join(ranks.hint("merge"), "block")
+    total = (total or 0) + (level0.agg(F.sum("n_texts")).first()[0] or 0)
+    passages = _neighbours(work, final, workers, total, min_words)
+    return listed(passages)
+
+
+def _starts(row: dict, length: int) -> tuple[np.ndarray, ...]:
+    """Of each suffix of `length` words or more: its rank, its words' fingerprint, its document in the block and its place there."""
+    doc, _, begin = (x.astype(np.int64) for x in unpack_columns(row["texts"], 3))
+    lengths = unpack_columns(row["lengths"], 1)[0].astype(np.int64)
+    word, = unpack_columns(row["symbols"], 1)
+    ranks, = unpack_columns(row["ranks"], 1)
+    first = np.cumsum(lengths) - lengths
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    place = np.arange(len(word)) - first[text]
+    at = np.flatnonzero(place + length <= lengths[text])
+    return ranks[at + text[at]], windows(word, length)[at] if len(at) else np.zeros(0, U), doc[text[at]], begin[text[at]] + place[at]
+
+
+def _neighbours(work: Shared, final: DataFrame, workers: int, total: int, length: int) -> DataFrame:
+    """(spans) of each block, packed: suffixes in their order, compared with their neighbours."""
+    span = max(1, -(-(total + 1) // workers))
+
+    def records(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                rank, print_, doc, _ = _starts(row, length)
+                if len(rank):
+                    order = np.argsort(rank)
+                    yield rows(_ROUTED, worker=[row["block"]], source=[row["block"]], data=[pack_columns(rank[order], print_[order], doc[order], np.full(len(rank), row["block"]), order)])
+
+    def compare(table: pa.Table) -> pa.Table:
+        """(block, record, passage, worker) with the passages of this worker: fingerprint, one document that has it, whether another has."""
+        me = table["worker"][0].as_py()
+        rank, print_, doc, block, record = joined_columns(table["data"].to_pylist(), 5)
+        order = np.argsort(rank)
+        same = print_[order]
+        new = np.ones(len(order), bool)
+        new[1:] = same[1:] != same[:-1]
+        group = np.cumsum(new) - 1
+        begin = np.flatnonzero(new)
+        holder = block[order] << U(32) | doc[order]
+        differs = holder != holder[begin][group]
+        several = np.bincount(group, differs, len(begin)) > 0
+        edges = pack_columns(same[begin[[0, -1]]], holder[begin[[0, -1]]], several[[0, -1]], np.array([len(begin), 0]))
+        verdict = several.astype(np.int64)  # 2 and 3: whatever the first and the last passage turn out to be
+        verdict[0], verdict[-1] = 2, 3
+        if len(begin) == 1:
+            verdict[0] = 2
+        by = np.lexsort((record[order], block[order]))
+        at = order[by]
+        data = pack_columns(block[at], record[at], verdict[group[by]], np.full(len(at), me))
+        return pa.table({"worker": pa.array([me, -1 - me], pa.int64()), "source": pa.array([me, me], pa.int64()), "data": pa.array([data, edges], pa.binary())})
+
+    asked = routed(final.mapInArrow(records, ROUTED), 5, lambda rank, *_: (rank // U(span)).astype(np.int64), workers)
+    compared = work.written(asked.groupBy("worker").applyInArrow(compare, ROUTED), "compared")
+    edges = {-1 - r["worker"]: unpack_columns(r["data"], 4) for r in compared.where("worker < 0").collect()}  # two passages a worker
+    known = np.zeros((workers, 4), bool)
+    known[:, 1] = True
+    _join_edges(edges, known)
+    back = routed(compared.where("worker >= 0"), 4, lambda block, *_: block.astype(np.int64), workers)
+
+    def spans(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        _, record, verdict, worker = (x.astype(np.int64) for x in joined_columns(right["data"].to_pylist(), 4))
+        for row in left.to_pylist():
+            _, _, doc, place = _starts(row, length)
+            hit = np.zeros(len(doc), bool)
+            hit[record] = known[worker, verdict]
+            owner, ids, _ = (x.astype(np.int64) for x in unpack_columns(row["texts"], 3))
+            which = np.searchsorted(owner, doc[hit])
+            # Places of a document follow each other, as its texts do.
+            found = spans_table(ids, np.zeros(len(ids), np.int64), which, place[hit], length)
+            out.append(pack_columns(*found.values()))
+        return pa.table({"spans": pa.array(out, pa.binary())})
+
+    return final.groupBy("block").cogroup(back.withColumnRenamed("worker", "block").groupBy("block")).applyInArrow(spans, "spans binary")
+
+
+def _join_edges(edges: dict[int, list[np.ndarray]], known: np.ndarray) -> None:
+    """Whether two documents have the passages at workers' edges, which may go on at the next workers."""
+    run: list[tuple[int, int]] = []
+    state: tuple | None = None  # fingerprint, a document, several
+
+    def close() -> None:
+        for w, column in run:
+            known[w, column] = bool(state and state[2])
+        run.clear()
+
+    for w in sorted(edges):
+        print_, holder, several, groups = edges[w]
+        for i, column in ((0, 2), (1, 3)):
+            if i and int(groups[0]) == 1:
+                known[w, 3] = False  # unused: its only passage is its first
+                continue
+            if state is not None and state[0] == print_[i] and not i:
+                state = (state[0], state[1], bool(state[2] or several[i] or state[1] != holder[i]))
+            else:
+                close()
+                state = (print_[i], holder[i], bool(several[i]))
+            run.append((w, column))
+    close()

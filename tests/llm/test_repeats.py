@@ -53,10 +53,12 @@ def test_spans_match_brute_force(spark, way, length, seed, letters, monkeypatch)
 
 
 @pytest.mark.parametrize("way", WAYS)
-def test_many_small_blocks_and_buckets(spark, way, monkeypatch):
+@pytest.mark.parametrize("fan", [3, 256])
+def test_many_small_blocks_and_workers(spark, way, fan, monkeypatch):
     monkeypatch.setattr(blocks, "BLOCK_WORDS", 200)
-    module = suffix_array if way is WAYS[0] else recompression
-    monkeypatch.setattr(module, "bucket_count", lambda b: 7)
+    monkeypatch.setattr(blocks, "FAN", fan)
+    monkeypatch.setattr(blocks, "WORKER_KEYS", 150)
+    monkeypatch.setattr(suffix_array, "BASE", 300)
     rows = corpus(7)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(map(tuple, way(df, 40).collect())) == brute(rows, 40)
