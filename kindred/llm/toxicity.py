@@ -29,9 +29,11 @@ from .blocks import pack, unpack
 from .minhash import signatures
 from .words import fingerprint, spans, text_bytes, words
 
-TRAIN_DOCS, LANDMARKS, ROUNDS, DECAY, STRETCH, LETTERS, SEED = 3000, 400, 3, 0.8, 7, 40, 42
-#: Evidence (Dunning's G) from which a span counts as toxic in training, and how often each such span is also shown with a letter put in.
-SIGNIFICANT, INSERTED = 12.0, 3
+TRAIN_DOCS, LANDMARKS, ROUNDS, DECAY, STRETCH, LETTERS, SEED = 3000, 600, 3, 0.8, 7, 40, 42
+#: Evidence (Dunning's G) from which a span counts as toxic in training, and how often each such span is also shown with one letter, and with two, put in at each place.
+SIGNIFICANT, INSERTED = 12.0, 4
+#: Clean spans that training solves first; all others that come within the margin join them. Weight of either kind of span in all.
+START, WEIGHT, HARD, SLACK, INSERTED_COUNT = 2000, 5000.0, 0.8, 0.05, 0.4
 #: How much oftener a share of toxic documents than of clean ones must hold a span or four letters that speak for toxicity.
 RATIO = 10
 OTHER = 27
@@ -170,11 +172,23 @@ def _take(code: np.ndarray, first: np.ndarray, which: np.ndarray) -> tuple[np.nd
     return code[np.arange(new[-1]) - np.repeat(new[:-1], n) + np.repeat(first[which], n)], new
 
 
-def _inserted(code: np.ndarray, first: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """The spans, each with a random letter put in between two of its own."""
-    n = np.diff(first)
-    at = first[:-1] + 2 + rng.integers(0, np.maximum(n - 3, 1))
-    return np.insert(code, np.minimum(at, first[1:] - 1), rng.integers(1, 27, len(n))), first + np.arange(len(first))
+def _on_end(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([a[0], b[0]]), np.concatenate([a[1], a[1][-1] + b[1][1:]])
+
+
+def _inserted(code: np.ndarray, first: np.ndarray, letters_in: int, times: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spans with random letters put in: one at every place `times` over, each time with letters_in - 1 more at random places; and which span each comes from."""
+    out, of = [], []
+    for i in range(len(first) - 1):
+        word = code[first[i] + 1 : first[i + 1] - 1]
+        for place in np.repeat(np.arange(len(word) + 1), times):
+            now = np.insert(word, place, rng.integers(1, 27))
+            for _ in range(letters_in - 1):
+                now = np.insert(now, rng.integers(0, len(now) + 1), rng.integers(1, 27))
+            out.append(np.concatenate([[0], now, [0]]).astype(np.int32))
+            of.append(i)
+    n = np.array([len(x) for x in out], np.int64)
+    return np.concatenate([*out, np.zeros(0, np.int32)]), np.concatenate([[0], np.cumsum(n)]), np.array(of, np.int64)
 
 
 def _kernel(x: tuple, marks: tuple, decay: float, white: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -204,12 +218,12 @@ def _kernel(x: tuple, marks: tuple, decay: float, white: np.ndarray | None = Non
     return out, used, phi
 
 
-def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float) -> tuple[np.ndarray, float]:
-    """Linear SVM with squared hinge loss by Newton's method, some thousand rows at a time."""
+def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float, begin: tuple[np.ndarray, float] | None = None) -> tuple[np.ndarray, float]:
+    """Linear SVM with squared hinge loss by Newton's method, some thousand rows at a time. begin: weights and bias to begin with."""
     w = np.zeros(z.shape[1] + 1)
     ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-6
-    active = np.ones(len(z), bool)
+    active = np.ones(len(z), bool) if begin is None else y * (z @ begin[0].astype(z.dtype) + begin[1]) < 1
     for _ in range(30):
         left, right = ridge.copy(), np.zeros(len(w))
         for lo in range(0, len(z), 8192):
@@ -286,29 +300,43 @@ def train(texts: list[str], toxic: list[bool], landmarks: int = LANDMARKS, round
         ok = often[distinct]
         distinct, times = (distinct[ok], times[ok]) if ok.any() else (distinct, times)
         negative = np.setdiff1d(clean, distinct)
-        marks = np.concatenate([distinct[np.argsort(-times, kind="stable")][: landmarks // 2], hard[: landmarks // 4]])
-        marks = np.unique(np.concatenate([marks, rng.permutation(negative)[: landmarks - len(marks)]]).astype(np.int64))
-        inserted = _inserted(*_take(s.code, s.first, np.repeat(distinct, INSERTED)), rng)
-        x = _take(s.code, s.first, np.concatenate([distinct, negative]))
-        x = np.concatenate([x[0], inserted[0]]), np.concatenate([x[1], x[1][-1] + inserted[1][1:]])
-        label = np.concatenate([np.ones(len(distinct)), -np.ones(len(negative)), np.ones(len(inserted[1]) - 1)])
-        times = np.sqrt(times) / np.sqrt(times).sum()
-        weight = np.concatenate([times / 2, np.full(len(negative), 1 / max(1, len(negative))), np.repeat(times / 2 / INSERTED, INSERTED)]) * len(label) / 2
-        mark = _take(s.code, s.first, marks)
+        plain = _take(s.code, s.first, distinct)
+        variants = [(*plain, np.arange(len(distinct))), _inserted(*plain, 1, INSERTED, rng), _inserted(*plain, 2, INSERTED, rng)]
+        share = np.sqrt(times) / np.sqrt(times).sum()
+        shares = [share[of] / np.bincount(of, minlength=len(share))[of] / len(variants) for _, _, of in variants]
+        # Landmarks: insults, insults with a letter put in, the clean side's highest spans, and any others of the clean side, a quarter each where there are enough.
+        part = landmarks // 4
+        changed = _take(*variants[1][:2], np.sort(rng.permutation(len(variants[1][2]))[:part]))
+        marks = np.union1d(distinct[np.argsort(-times, kind="stable")][:part], rng.permutation(np.unique(hard))[:part])
+        marks = np.union1d(marks, rng.permutation(negative)[: max(0, landmarks - len(marks) - len(changed[1]) + 1)])
+        mark = _on_end(_take(s.code, s.first, marks), changed)
         own, vectors = np.linalg.eigh(_kernel(mark, mark, decay)[0])
         ok = own > max(1e-6 * own.max(), 1e-12)
         white = vectors[:, ok] / np.sqrt(own[ok])
-        z, used, phi = _kernel(x, mark, decay, white)
-        w, bias = _svm(z, label, weight, c)
-        table = np.zeros(LETTERS**4, np.float32)
-        table[used] = phi @ (white @ w)
-        model = Model(table, bias, 0.0, decay)
-        score = model.score(s.code, s.first)
+        z_pos = np.concatenate([_kernel(v[:2], mark, decay, white)[0] for v in variants])
+        # All clean spans count. Those beyond the margin don't pull at an SVM with hinge loss, so it is solved with those within it, until no other one is.
+        as_highest = np.bincount(hard, minlength=len(guess))
+        used = np.union1d(rng.permutation(negative)[:START], np.intersect1d(hard, negative))
+        z_neg = np.zeros((0, white.shape[1]), np.float32)
+        rows_of, added, solved = np.zeros(0, np.int64), used, None
+        while len(added):
+            more, subs, phi = _kernel(_take(s.code, s.first, added), mark, decay, white)
+            z_neg, rows_of = np.concatenate([z_neg, more]), np.concatenate([rows_of, added])
+            label = np.concatenate([np.ones(len(z_pos)), -np.ones(len(z_neg))])
+            # Half the weight of the clean side lies on all its spans alike, half on those that were their documents' highest, whether or not the others are there.
+            weight = np.concatenate([*shares, (1 - HARD) / max(1, len(negative)) + HARD * as_highest[rows_of] / max(1, as_highest.sum())]) * WEIGHT
+            w, bias = solved = _svm(np.concatenate([z_pos, z_neg]), label, weight, c, solved)
+            table = np.zeros(LETTERS**4, np.float32)
+            table[subs] = phi @ (white @ w)
+            model = Model(table, bias, 0.0, decay)
+            score = model.score(s.code, s.first)
+            added = np.setdiff1d(negative[score[negative] > -1 + SLACK], rows_of)
         likely = (evidence >= SIGNIFICANT / 2) | (score > 0)
-        positive, hard = winners(score, True), np.unique(winners(score, False))
+        positive, hard = winners(score, True), np.concatenate([hard, winners(score, False)])
     best = np.full(len(y), -np.inf)
     np.maximum.at(best, doc, score[span])
-    model.threshold = _threshold(best, y)
+    changed = [model.score(*v[:2]) for v in (_inserted(*_take(s.code, s.first, distinct), n, 1, rng) for n in (1, 2))]
+    model.threshold = _threshold(best, y, np.concatenate(changed))
     return model
 
 
@@ -323,15 +351,19 @@ def _originals(texts: pa.Array) -> np.ndarray:
     return has[~copy]
 
 
-def _threshold(score: np.ndarray, y: np.ndarray) -> float:
-    """The cut of the highest F1 on the training documents; among equally good ones the widest gap's, nearer to its clean end, as insults vary more."""
-    cuts = np.unique(score[np.isfinite(score)])
+def _threshold(score: np.ndarray, y: np.ndarray, changed: np.ndarray) -> float:
+    """The cut of the highest F1 on the training documents and on insults with letters put in (`changed`), which count for INSERTED_COUNT of the toxic documents in all.
+
+    Among equally good ones the widest gap's, nearer to its clean end, as insults vary more.
+    """
+    cuts = np.unique(np.concatenate([score[np.isfinite(score)], changed]))
     if not len(cuts):
         return np.inf
     edges = np.concatenate([[cuts[0] - 1], cuts[:-1] + 0.3 * np.diff(cuts)])
-    pos, neg = np.sort(score[y]), np.sort(score[~y])
-    tp, fp = len(pos) - np.searchsorted(pos, edges, "right"), len(neg) - np.searchsorted(neg, edges, "right")
-    f1 = 2 * tp / (tp + fp + len(pos))
+    above = lambda x: len(x) - np.searchsorted(np.sort(x), edges, "right")
+    n = int(y.sum())
+    tp, fp = above(score[y]) + above(changed) * (INSERTED_COUNT * n / max(1, len(changed))), above(score[~y])
+    f1 = 2 * tp / (tp + fp + n * (1 + INSERTED_COUNT * (len(changed) > 0)))
     top = np.flatnonzero(f1 >= f1.max() - 1e-12)
     gap = np.concatenate([[2.0], np.diff(cuts)])
     return float(edges[top[np.argmax(gap[top])]])
@@ -388,6 +420,9 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(document_scores(b.column(at).cast(pa.large_string()), shared.value) <= shared.value.threshold))
+            kept = b.filter(pa.array(document_scores(b.column(at).cast(pa.large_string()), shared.value) <= shared.value.threshold))
+            yield pa.RecordBatch.from_arrays(kept.columns, names=docs_columns)
 
-    return docs.mapInArrow(run, docs.schema)
+    # Arrow's batches take columns by plain names alone, whatever docs calls them.
+    docs_columns = docs.columns
+    return docs.toDF(*[f"c{i}" for i in range(len(docs_columns))]).mapInArrow(run, docs.schema)
