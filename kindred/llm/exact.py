@@ -21,17 +21,27 @@ from ..shared import Shared
 from .blocks import pack, unpack
 
 FAN = 8
-#: A run's columns: SHA-256 in four parts, length in bytes, second hash, identifier.
-WIDTH, NO_ID = 7, (1 << 63) - 1
+#: A run's columns: SHA-256 in four parts, length in bytes, second hash, whether the identifier is null, identifier.
+WIDTH = 8
 _RUN = "worker bigint, run binary, lost binary"
 
 
 def digest(text: str | Column) -> Column:
-    return F.unhex(F.sha2(F.col(text) if isinstance(text, str) else text, 256))
+    return F.unhex(F.sha2(F.col(f"`{text}`") if isinstance(text, str) else text, 256))
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """names, each with as many underscores before it as no column of `columns` needs."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
 
 
 def _sorted(run: np.ndarray) -> np.ndarray:
-    return run[np.lexsort((run[:, 6].view(np.int64), *(run[:, c] for c in (5, 4, 3, 2, 1, 0))))]
+    return run[np.lexsort((np.ascontiguousarray(run[:, 7]).view(np.int64), *(run[:, c] for c in (6, 5, 4, 3, 2, 1, 0))))]
 
 
 def _merged(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -51,7 +61,14 @@ def lost_rows(docs: DataFrame, fan: int = FAN, id_col: str = "doc_id", text_col:
     if fan < 2:
         raise ValueError("fan must be at least 2")
     work = Shared(docs.sparkSession, "digests")
-    source = docs.where(F.col(text_col).isNotNull()).select(digest(text_col).alias("digest"), F.octet_length(text_col).cast("long").alias("n"), F.xxhash64(text_col).alias("h"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"))
+    text, number = F.col(f"`{text_col}`"), F.col(f"`{id_col}`").cast("long")
+    source = docs.where(text.isNotNull()).select(
+        digest(text_col).alias("digest"),
+        F.octet_length(text).cast("long").alias("n"),
+        F.xxhash64(text).alias("h"),
+        number.isNull().cast("long").alias("nameless"),
+        F.coalesce(number, F.lit(0).cast("long")).alias("id"),
+    )
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = []
@@ -59,7 +76,7 @@ def lost_rows(docs: DataFrame, fan: int = FAN, id_col: str = "doc_id", text_col:
             if len(batch):
                 run = np.empty((len(batch), WIDTH), np.uint64)
                 run[:, :4] = np.frombuffer(b"".join(batch.column(0).to_pylist()), ">u8").reshape(-1, 4)
-                for c in (1, 2, 3):
+                for c in (1, 2, 3, 4):
                     run[:, c + 3] = batch.column(c).to_numpy().view(np.uint64)
                 parts.append(run)
         kept, lost = _merged(parts)
@@ -96,8 +113,9 @@ def lost_rows(docs: DataFrame, fan: int = FAN, id_col: str = "doc_id", text_col:
                 for blob in batch.column(0).to_pylist():
                     run = _array(blob)
                     raw = np.ascontiguousarray(run[:, :4].astype(">u8")).tobytes()
-                    ids = run[:, 6].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([raw[i : i + 32] for i in range(0, len(raw), 32)], pa.binary()), pa.array(run[:, 4].view(np.int64)), pa.array(run[:, 5].view(np.int64)), pa.array(ids, pa.int64(), mask=ids == NO_ID)], names=["digest", "n", "h", column])
+                    number = [np.ascontiguousarray(run[:, c]).view(np.int64) for c in (4, 5, 7)]
+                    ids = pa.array(number[2], pa.int64(), mask=run[:, 6] > 0)
+                    yield pa.RecordBatch.from_arrays([pa.array([raw[i : i + 32] for i in range(0, len(raw), 32)], pa.binary()), pa.array(number[0]), pa.array(number[1]), ids], names=["digest", "n", "h", column])
 
         return unpacked
 
@@ -120,20 +138,26 @@ def exact_duplicates(docs: DataFrame, fan: int = FAN, id_col: str = "doc_id", te
 
 
 def without_duplicates(docs: DataFrame, fan: int = FAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_duplicates lists; of repeated rows, identifier and all, one stays."""
+    """docs without the rows that exact_duplicates lists; of repeated rows, identifier and all, one stays.
+
+    Columns may have any names, those used here too: helpers take names that docs doesn't have.
+    """
     lost = lost_rows(docs, fan, id_col, text_col)
     lost = Shared(docs.sparkSession, "lost").written(lost, "rows")
-    columns = docs.columns
-    marked = docs.withColumn("__digest", digest(text_col)).withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
-    mine = lambda x: x.select(F.col("digest").alias("__digest"), F.coalesce("doc_id", F.lit(NO_ID)).alias("__id")).distinct()
+    digest_, nameless, id_, twice_ = unused(docs.columns, "digest", "nameless", "id", "twice")
+    number = F.col(f"`{id_col}`").cast("long")
+    keys = [digest_, nameless, id_]
+    helpers = {digest_: digest(text_col), nameless: number.isNull(), id_: F.coalesce(number, F.lit(0).cast("long"))}
+    marked = docs.withColumns(helpers)
+    mine = lambda x: x.select(F.col("digest").alias(digest_), F.col("doc_id").isNull().alias(nameless), F.coalesce("doc_id", F.lit(0)).alias(id_)).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     # The list grows with the corpus: both sides are sorted by key at every size, and no size is the first to do so.
-    left = marked.join(mine(lost.where(~same)).hint("merge"), ["__digest", "__id"], "left_anti")
-    twice = mine(lost.where(same)).withColumn("__twice", F.lit(True))
+    left = marked.join(mine(lost.where(~same)).hint("merge"), keys, "left_anti")
+    twice = mine(lost.where(same)).withColumn(twice_, F.lit(True))
     if not twice.isEmpty():
-        left = left.join(twice.hint("merge"), ["__digest", "__id"], "left")
-        left = left.where("__twice is null").union(left.where("__twice").dropDuplicates(["__digest", "__id"]))
-    return left.select(*[F.col(f"`{c}`") for c in columns])
+        left = left.join(twice.hint("merge"), keys, "left")
+        left = left.where(F.col(twice_).isNull()).union(left.where(F.col(twice_)).dropDuplicates(keys))
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = """
