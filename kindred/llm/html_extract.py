@@ -20,21 +20,43 @@ from pyspark.sql import functions as F
 from ..shared import Shared
 
 TRAIN_PAGES, EPOCHS, SEED = 600, 12, 42
-#: Comments, and scripts and the like with what they hold, count as one tag each; an unclosed one reaches to the page's end.
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?]?(/?[a-zA-Z][a-zA-Z0-9:-]*)?[^<>]*>", re.S | re.I)
+#: Elements whose content isn't text: with what they hold they count as one tag, as comments do; an unclosed one reaches to the page's end.
+_OPAQUE = ("script", "style", "noscript", "template", "svg", "textarea")
+_OPENS = re.compile(rf"<({'|'.join(_OPAQUE)})\b", re.I)
+_CLOSES = {t: re.compile(rf"</{t}\s*+>", re.I) for t in _OPAQUE}
+_TAG = re.compile(r"<[!?]?(/?[a-zA-Z][a-zA-Z0-9:-]*+)?+[^<>]*+>")
 _INLINE = frozenset(x for t in ("a", "abbr", "b", "bdi", "cite", "code", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "small", "span", "strong", "sub", "sup", "time", "u", "var") for x in (t, "/" + t))
 OTHER = "?"
 _LEAST, _START = -0.05, -1.0
 
 
 def tokens(page: str) -> tuple[list[str], list[str]]:
-    """Tags' names, and the texts before, between and after them (one more)."""
-    names, texts, at = [], [], 0
-    for m in _TOKEN.finditer(page):
-        texts.append(page[at : m.start()])
-        names.append((m[1] or m[2] or OTHER).lower())
-        at = m.end()
-    texts.append(page[at:])
+    """Tags' names, and the texts before, between and after them (one more). Linear in the page, whatever it holds: what isn't there further on is looked for once."""
+    names, texts, begin, at = [], [], 0, page.find("<")
+    last = page.rfind(">")
+    closed = {}
+    while at >= 0:
+        opaque = _OPENS.match(page, at)
+        name, end = OTHER, -1
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+        elif opaque and last >= opaque.end():
+            name = opaque[1].lower()
+            inner = page.find(">", opaque.end()) + 1
+            close = closed.get(name, True) and _CLOSES[name].search(page, inner)
+            closed[name] = close is not None and close is not False
+            end = close.end() if close else len(page)
+        elif at < last and (tag := _TAG.match(page, at)):
+            name, end = (tag[1] or OTHER).lower(), tag.end()
+        if end < 0:
+            at = page.find("<", at + 1)
+            continue
+        texts.append(page[begin:at])
+        names.append(name)
+        begin = end
+        at = page.find("<", end)
+    texts.append(page[begin:])
     return names, texts
 
 
@@ -122,13 +144,25 @@ def labelled_pages(pages: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def train(pages: DataFrame, documents: DataFrame, limit: int = TRAIN_PAGES) -> dict[str, float]:
-    """Weights from at most `limit` labelled pages, drawn by a hash of the identifier: identifiers first, and the texts of these alone."""
+    """Weights from at most `limit` labelled pages, drawn by a hash of the identifier: identifiers first, and the texts of these alone.
+
+    One task gathers the pages and learns; the weights of their tags reach the driver.
+    """
     drawn = labelled_pages(pages, documents).select("page_id", "doc_id").distinct().orderBy(F.xxhash64(F.lit(SEED), "page_id"), "page_id", "doc_id").limit(limit)
-    drawn = Shared(pages.sparkSession, "pages").written(drawn, "drawn")
+    work = Shared(pages.sparkSession, "pages")
+    drawn = work.written(drawn, "drawn")
     few = lambda c: F.broadcast(drawn.select(F.col(c).alias(f"__{c}")).distinct())  # noqa: E731  # `limit` rows at most
     mine = labelled_pages(pages.join(few("page_id"), F.col("page_id") == F.col("__page_id"), "left_semi"), documents.join(few("doc_id"), F.col("doc_id") == F.col("__doc_id"), "left_semi"))
-    rows = mine.join(F.broadcast(drawn), ["page_id", "doc_id"]).orderBy("page_id", "doc_id", F.xxhash64("html"), F.xxhash64("text")).limit(limit).select("html", "text").collect()
-    return learn([(r["html"], r["text"]) for r in rows])
+    rows = mine.join(F.broadcast(drawn), ["page_id", "doc_id"]).orderBy("page_id", "doc_id", F.xxhash64("html"), F.xxhash64("text")).limit(limit).select("html", "text")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = sorted({(h, t) for b in batches for h, t in zip(b["html"], b["text"])})
+        weights = learn(found)
+        yield pd.DataFrame({"tag": list(weights), "weight": list(weights.values())})
+
+    learnt = {r["tag"]: r["weight"] for r in rows.repartition(1).mapInPandas(run, "tag string, weight double").collect()}
+    work.dropped("drawn")
+    return learnt or learn([])
 
 
 def extract_pages(pages: DataFrame, weights: dict[str, float]) -> DataFrame:
