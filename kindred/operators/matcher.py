@@ -11,7 +11,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import log_loss, sigmoid
@@ -48,6 +48,16 @@ def rows(features: DataFrame, pairs: DataFrame, batch: int = BATCH) -> DataFrame
     return placed.withColumns({"positions": F.coalesce("positions", F.array().cast("array<bigint>")), "xs": F.coalesce("xs", F.array().cast("array<double>"))})
 
 
+def max_delta(before: Matcher, after: Matcher) -> float:
+    """The largest change of a weight."""
+    return float(np.abs(before.weights - after.weights).max(initial=0.0))
+
+
+def weight_rows(spark: SparkSession, m: Matcher) -> DataFrame:
+    """(position, w), the bias at position -1; MAX_WEIGHTS rows at most."""
+    return spark.createDataFrame([(-1, float(m.bias)), *((i, float(w)) for i, w in enumerate(m.weights))], "position bigint, w double")
+
+
 def linear_scores(features: DataFrame, weights: DataFrame, pairs: DataFrame, bias: float) -> DataFrame:
     """(spec1, spec2, p): sigmoid of the sum of w * x and the bias, by joins alone. weights: (position, w)."""
     sums = features.join(weights, "position").groupBy("spec1", "spec2").agg(F.sum(F.col("w") * F.col("x")).alias("s"))
@@ -115,8 +125,9 @@ def rising(losses: list[float], patience: int = PATIENCE) -> bool:
 def fit(train: DataFrame, test: DataFrame, m: Matcher, epochs: int = EPOCHS, patience: int = PATIENCE) -> Matcher:
     """m trained on the full batches of train (its only one, if there is none that is full), until the mean loss on test rises for `patience` epochs; then the matcher before the rise."""
     work = Shared(train.sparkSession, "matcher")
-    train, test = work.written(train, "train"), work.written(test, "test")
     sizes = {r["batch"]: r["count"] for r in train.groupBy("batch").count().collect()}
+    # Rows of a batch lie together, so that a step's scan reads the row groups of its batch alone.
+    train, test = work.written(train.repartitionByRange("batch").sortWithinPartitions("batch"), "train"), work.written(test, "test")
     full = sorted(b for b, n in sizes.items() if n == max(sizes.values()))
     kept, losses = [], []
     for _ in range(epochs):
@@ -145,13 +156,22 @@ def confident(scored: DataFrame, t: float) -> DataFrame:
     return scored.where((F.col("p") < t) | (F.col("p") > 1 - t)).select("spec1", "spec2", (F.col("p") >= t).cast("int").alias("relation"))
 
 
+def unclosed(pairs: DataFrame) -> DataFrame:
+    """The pairs that follow from chains of pairs of relation 1 and aren't among them."""
+    ids = pairs.select(F.col("spec1").alias("spec_id")).union(pairs.select("spec2")).distinct()
+    whole = P.similar_pairs(P.cliques(ids, pairs))
+    known = pairs.select(F.least("spec1", "spec2").alias("spec1"), F.greatest("spec1", "spec2").alias("spec2"))
+    return whole.join(known, ["spec1", "spec2"], "left_anti")
+
+
 def self_train(members: DataFrame, block: DataFrame, labelled: DataFrame, test: DataFrame, vecs: DataFrame, m: Matcher, step_size: float = STEP, most: int = MOST_NEW, epochs: int = EPOCHS, batch: int = BATCH) -> tuple[Matcher, DataFrame]:
     """The matcher and all pairs after rounds at t = 0, step_size, ... below 0.5: train on what is there, score the unseen pairs of specs
     that are in no clique and agree in block's columns, and add the confident ones, `most` a round in the order of identifiers.
     """
+    if not [c for c in block.columns if c != "spec_id"]:
+        raise ValueError("block needs a column: without one, every spec would be paired with every other")
     work = Shared(labelled.sparkSession, "self-training")
-    single = members.groupBy("root_id").count().where("count = 1").select(F.col("root_id").alias("spec_id"))
-    specs = block.join(single, "spec_id", "left_semi")
+    specs = block.join(P.singletons(members), "spec_id", "left_semi")
     columns = [c for c in block.columns if c != "spec_id"]
     pairs, held, at, t = work.written(labelled.select("spec1", "spec2", "relation"), "pairs0"), rows(pair_features(test, vecs), test, batch), 0, 0.0
     while t < 0.5:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -11,9 +11,12 @@ from .ranks import ranked
 IDF_MAX = 8.692
 
 
-def token_rows(texts: DataFrame, id_col: str, text_col: str, stopwords: list[str] | None = None) -> DataFrame:
-    """(spec_id, token), as often as the token occurs."""
-    return texts.select(F.col(id_col).alias("spec_id"), F.explode(text.without(text.tokens(F.col(text_col)), stopwords or [])).alias("token"))
+def token_rows(texts: DataFrame, id_col: str, text_col: str, stopwords: list[str] | DataFrame | None = None) -> DataFrame:
+    """(spec_id, token), as often as the token occurs. stopwords: words, or a table of `word` (as read_stopwords gives), which an anti join takes out."""
+    found = texts.select(F.col(id_col).alias("spec_id"), F.explode(F.split(text.lower(F.col(text_col)), text.SEPARATORS)).alias("token")).where("token <> ''")
+    if isinstance(stopwords, DataFrame):
+        return found.join(stopwords.select(F.col("word").alias("token")).distinct(), "token", "left_anti").select("spec_id", "token")
+    return found.where(~F.col("token").isin(stopwords)) if stopwords else found
 
 
 def counts(tokens: DataFrame) -> DataFrame:
@@ -39,8 +42,9 @@ def vectors(count_rows: DataFrame, words: DataFrame, tfidf: bool = True) -> Data
     found = count_rows.join(words.select("token", "position", "idf"), "token")
     if not tfidf:
         return found.select("spec_id", "position", F.col("n").cast("double").alias("x"))
-    total = found.groupBy("spec_id").agg(F.sum("n").alias("__total"))
-    return found.join(total, "spec_id").select("spec_id", "position", (F.col("n") / F.col("__total") * F.col("idf")).alias("x"))
+    # One spec's tokens are one partition: a text's vocabulary, not a group that grows with the corpus.
+    total = F.sum("n").over(Window.partitionBy("spec_id"))
+    return found.select("spec_id", "position", (F.col("n") / total * F.col("idf")).alias("x"))
 
 
 def pair_features(pairs: DataFrame, vecs: DataFrame) -> DataFrame:
