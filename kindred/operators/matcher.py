@@ -151,6 +151,11 @@ def report(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     return scored.select("spec1", "spec2", "y", "p", ((F.col("p") >= threshold).cast("int") == F.col("y")).alias("correct"))
 
 
+def user_report(scored: DataFrame) -> DataFrame:
+    """(spec1, spec2, p) of pairs whose label isn't known."""
+    return scored.select("spec1", "spec2", "p")
+
+
 def confident(scored: DataFrame, t: float) -> DataFrame:
     """(spec1, spec2, relation): pairs of p < t as 0 and of p > 1 - t as 1."""
     return scored.where((F.col("p") < t) | (F.col("p") > 1 - t)).select("spec1", "spec2", (F.col("p") >= t).cast("int").alias("relation"))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import json, text
@@ -12,8 +13,12 @@ from ..operators import collections as C
 from ..operators import matcher as M
 from ..operators import pairs as P
 from ..operators import ranks, vectors
+from ..shared import Shared
 
 STOPWORDS = ["the", "and", "of", "to", "in", "le", "la", "les", "des", "der", "die", "und", "el", "los", "que"]
+#: Lower than the default of `vectors`, which tables of fewer than 5956 specs never reach.
+IDF_MAX = 5.0
+FIT_RATE = 0.01
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
@@ -45,7 +50,7 @@ _UP, _LOW = text.UPPER, text.LOWER
 _TOKENS = rf"""tokens as (select doc_id, token from (select doc_id, unnest(string_split_regex(translate(text, '{_UP}', '{_LOW}'), '[\x09-\x0d\x20-\x40\x5b-\x60\x7b-\x7e]+')) as token from documents) where token <> '')"""
 _COUNTS = f"{_TOKENS}, counts as (select doc_id, token, count(*) as n from tokens group by all)"
 _VOCAB = f"""{_COUNTS}, vocab as (select token, row_number() over (order by token) - 1 as position, df, idf from (
-  select token, count(*) as df, ln(greatest((select count(*) from documents) // count(*), 1)) as idf from counts group by token) where idf <= {vectors.IDF_MAX})"""
+  select token, count(*) as df, ln(greatest((select count(*) from documents) // count(*), 1)) as idf from counts group by token) where idf <= {IDF_MAX})"""
 _VECS = f"""{_VOCAB}, vecs as (select doc_id, position, n / sum(n) over (partition by doc_id) * idf as x from counts join vocab using (token)),
 pairs as (select doc_id as spec1, doc_id + 1 as spec2, cast(doc_id % 3 = 0 as integer) as y from documents where doc_id + 1 in (select doc_id from documents)),
 feats as (select spec1, spec2, position, abs(sum(x)) as x from (
@@ -60,35 +65,69 @@ _SIMILAR = "alike as (select a.spec_id as spec1, b.spec_id as spec2, 1 as relati
 _DIFFERENT = "different as (select least(a.spec_id, b.spec_id) as spec1, greatest(a.spec_id, b.spec_id) as spec2, 0 as relation from roots join cliques a on a.root_id = root_a join cliques b on b.root_id = root_b)"
 
 
-def _counts(spark, sf_dir):
-    return vectors.counts(vectors.token_rows(_t(spark, sf_dir, "documents"), "doc_id", "text"))
+class _Corpus:
+    """Documents as specs. Each table is made once, written, and read by all that follow from it."""
+
+    def __init__(self, spark, sf_dir):
+        self.spark, self.sf_dir, self.work = spark, sf_dir, Shared(spark, "corpus")
 
+    @cached_property
+    def counts(self):
+        return self.work.written(_counts(self.spark, self.sf_dir), "counts")
 
-def _vocabulary(spark, sf_dir, counted=None):
-    n = _t(spark, sf_dir, "documents").count()
-    return vectors.vocabulary(vectors.document_frequency(counted if counted is not None else _counts(spark, sf_dir)), n)
+    @cached_property
+    def vocabulary(self):
+        n = _t(self.spark, self.sf_dir, "documents").count()
+        frequency = self.work.written(vectors.document_frequency(self.counts), "frequency")
+        return self.work.written(vectors.vocabulary(frequency, n, IDF_MAX), "vocabulary")
 
+    @cached_property
+    def vectors(self):
+        return self.work.written(vectors.vectors(self.counts, self.vocabulary), "vectors")
 
-def _vectors(spark, sf_dir):
-    counted = _counts(spark, sf_dir)
-    return vectors.vectors(counted, _vocabulary(spark, sf_dir, counted))
+    @cached_property
+    def pairs(self):
+        ids = _t(self.spark, self.sf_dir, "documents").select("doc_id")
+        following = ids.select((F.col("doc_id") - 1).alias("doc_id"))
+        found = ids.join(following, "doc_id", "left_semi")
+        return found.select(F.col("doc_id").alias("spec1"), (F.col("doc_id") + 1).alias("spec2"), (F.col("doc_id") % 3 == 0).cast("int").alias("relation"))
 
+    @cached_property
+    def features(self):
+        return self.work.written(vectors.pair_features(self.pairs, self.vectors), "features")
 
-def _doc_pairs(spark, sf_dir):
-    ids = _t(spark, sf_dir, "documents").select("doc_id")
-    following = ids.select((F.col("doc_id") - 1).alias("doc_id"))
-    return ids.join(following, "doc_id", "left_semi").select(F.col("doc_id").alias("spec1"), (F.col("doc_id") + 1).alias("spec2"), (F.col("doc_id") % 3 == 0).cast("int").alias("relation"))
+    def scores(self, features, pairs):
+        """(spec1, spec2, p) by weights made of positions."""
+        weights = self.vocabulary.select("position", (F.col("position") % 7 - 3).cast("double").alias("w"))
+        return M.linear_scores(features, weights, pairs, 0.1)
 
+    @cached_property
+    def scored(self):
+        return self.scores(self.features, self.pairs).join(self.pairs.withColumnRenamed("relation", "y"), ["spec1", "spec2"])
 
-def _features(spark, sf_dir):
-    return vectors.pair_features(_doc_pairs(spark, sf_dir), _vectors(spark, sf_dir))
+    def fitted(self, steps):
+        """Weights after steps over all pairs as one batch, from zero."""
+        data = self.work.written(M.rows(self.features, self.pairs, 1 << 40), "rows")
+        m = M.Matcher.new(self.vocabulary.count(), FIT_RATE)
+        for _ in range(steps):
+            m, _ = M.step(data, m)
+        return M.weight_rows(self.spark, m).select("position", F.round("w", 9).alias("w"))
 
 
-def _scored(spark, sf_dir, features=None):
-    pairs = _doc_pairs(spark, sf_dir)
-    weights = _vocabulary(spark, sf_dir).select("position", (F.col("position") % 7 - 3).cast("double").alias("w"))
-    p = M.linear_scores(features if features is not None else _features(spark, sf_dir), weights, pairs, 0.1)
-    return p.join(pairs.withColumnRenamed("relation", "y"), ["spec1", "spec2"])
+def _counts(spark, sf_dir):
+    return vectors.counts(vectors.token_rows(_t(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
+def _fit_sql(steps: int) -> str:
+    out = f"""with {_VECS}, known as materialized (select * from pairs), f as materialized (select * from feats join known using (spec1, spec2)),
+w0 as (select position, 0.0 as w from vocab), b0 as (select 0.0 as b)"""
+    for i in range(1, steps + 1):
+        out += f""", p{i} as materialized (select k.spec1, k.spec2, k.y, 1 / (1 + exp(-(coalesce(s, 0) + (select b from b{i - 1})))) as p
+  from known k left join (select spec1, spec2, sum(w * x) as s from f join w{i - 1} using (position) group by all) t on t.spec1 = k.spec1 and t.spec2 = k.spec2),
+w{i} as materialized (select v.position, v.w - coalesce(g, 0) as w from w{i - 1} v left join (
+  select position, sum({FIT_RATE} * (p - p{i}.y) * x) as g from f join p{i} using (spec1, spec2) group by position) d on d.position = v.position),
+b{i} as materialized (select b - {FIT_RATE} * (select sum(p - y) from p{i}) as b from b{i - 1})"""
+    return out + f" select position, round(w, 9) as w from w{steps} union all select -1, round(b, 9) from b{steps}"
 
 
 def _part_labels(spark, sf_dir):
@@ -111,12 +150,13 @@ def token_counts(spark, sf_dir):
 
 @query(f"with {_VOCAB} select * from vocab")
 def vocab_df_idf(spark, sf_dir):
-    return _vocabulary(spark, sf_dir)
+    return _Corpus(spark, sf_dir).vocabulary
 
 
 @query(f"with {_TOKENS} select doc_id, count(*) as n, count(distinct token) as n_distinct from tokens where token not in ({_WORDS}) group by doc_id")
 def stopword_anti_join(spark, sf_dir):
-    words = vectors.token_rows(_t(spark, sf_dir, "documents"), "doc_id", "text", STOPWORDS)
+    table = spark.createDataFrame([(w,) for w in STOPWORDS], "word string")
+    words = vectors.token_rows(_t(spark, sf_dir, "documents"), "doc_id", "text", table)
     return words.groupBy(F.col("spec_id").alias("doc_id")).agg(F.count("*").alias("n"), F.countDistinct("token").alias("n_distinct"))
 
 
@@ -140,10 +180,10 @@ def key_hashes(spark, sf_dir):
 
 
 @query("""select event_id, cast(json_extract(props, '$.k') as double) as k, json_keys(props)[1] as first_key, cast(len(json_keys(props)) as integer) as n_keys,
-case json_type(props) when 'OBJECT' then 'OBJECT' end as kind, cast(json(props) as varchar) as printed, cast(null as varchar) as missing from events""")
+case json_type(props) when 'OBJECT' then 'OBJECT<k: BIGINT>' end as kind, cast(json(props) as varchar) as printed, cast(null as varchar) as missing from events""")
 def json_members(spark, sf_dir):
     c = F.col("props")
-    return _t(spark, sf_dir, "events").select("event_id", json.member(c, "k", "double").alias("k"), json.keys(c)[0].alias("first_key"), F.size(json.keys(c)).alias("n_keys"), F.substring(json.kind(c), 1, 6).alias("kind"), json.printed(c).alias("printed"), json.member(c, "nothing").alias("missing"))
+    return _t(spark, sf_dir, "events").select("event_id", json.member(c, "k", "double").alias("k"), json.keys(c)[0].alias("first_key"), F.size(json.keys(c)).alias("n_keys"), json.kind(c).alias("kind"), json.printed(c).alias("printed"), json.member(c, "nothing").alias("missing"))
 
 
 @query("select c_custkey, 'name' as key, c_name as value from customer union all select c_custkey, 'segment', c_mktsegment from customer")
@@ -169,9 +209,16 @@ def different_roots(spark, sf_dir):
     return P.different_roots(_members(spark, sf_dir), _part_labels(spark, sf_dir))
 
 
-@query(f"with {_ROOTS} select distinct s1 as spec1, s2 as spec2, r1 as root_id from rooted where r1 = r2")
+@query("""with c as (select p_partkey, min(p_partkey) over (partition by p_brand, p_type) as root_id from part)
+select a.p_partkey as spec1, b.p_partkey as spec2, a.root_id from c a join c b on a.root_id = b.root_id join part x on x.p_partkey = a.p_partkey join part y on y.p_partkey = b.p_partkey
+where a.p_partkey < b.p_partkey and x.p_size = y.p_size""")
 def label_conflicts(spark, sf_dir):
-    return P.conflicts(_members(spark, sf_dir), _part_labels(spark, sf_dir))
+    """Parts of one brand and type are chained as similar, those of one size among them labelled different."""
+    part = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("spec_id"), "p_brand", "p_type", "p_size")
+    before = F.lag("spec_id").over(Window.partitionBy("p_brand", "p_type").orderBy("spec_id"))
+    alike = part.select(before.alias("spec1"), F.col("spec_id").alias("spec2"), F.lit(1).alias("relation")).where("spec1 is not null")
+    differ = P.candidates(part, ["p_brand", "p_type", "p_size"]).withColumn("relation", F.lit(0))
+    return P.conflicts(P.cliques(part, alike), differ)
 
 
 @query(f"with {_CLIQUES}, {_SIMILAR} select * from alike")
@@ -224,40 +271,42 @@ def unseen_candidates(spark, sf_dir):
 
 @query(f"with {_VECS} select doc_id as spec_id, position, round(x, 9) as x from vecs")
 def tfidf_vectors(spark, sf_dir):
-    return _vectors(spark, sf_dir).withColumn("x", F.round("x", 9))
+    corpus = _Corpus(spark, sf_dir)
+    return vectors.vectors(corpus.counts, corpus.vocabulary).withColumn("x", F.round("x", 9))
 
 
 @query(f"with {_VOCAB} select doc_id as spec_id, position, cast(n as double) as x from counts join vocab using (token)")
 def bow_vectors(spark, sf_dir):
-    counted = _counts(spark, sf_dir)
-    return vectors.vectors(counted, _vocabulary(spark, sf_dir, counted), False)
+    corpus = _Corpus(spark, sf_dir)
+    return vectors.vectors(corpus.counts, corpus.vocabulary, False)
 
 
 @query(f"with {_VECS} select spec1, spec2, count(*) as n, round(sum(x), 6) as total, round(max(x), 6) as largest from feats group by all")
 def pair_features(spark, sf_dir):
-    return _features(spark, sf_dir).groupBy("spec1", "spec2").agg(F.count("*").alias("n"), F.round(F.sum("x"), 6).alias("total"), F.round(F.max("x"), 6).alias("largest"))
+    corpus = _Corpus(spark, sf_dir)
+    return vectors.pair_features(corpus.pairs, corpus.vectors).groupBy("spec1", "spec2").agg(F.count("*").alias("n"), F.round(F.sum("x"), 6).alias("total"), F.round(F.max("x"), 6).alias("largest"))
 
 
 @query(f"with {_SCORED} select spec1, spec2, y, round(p, 6) as p, cast(p >= 0.5 as integer) = y as correct from scored")
 def predictions(spark, sf_dir):
-    return M.report(_scored(spark, sf_dir)).withColumn("p", F.round("p", 6))
+    return M.report(_Corpus(spark, sf_dir).scored).withColumn("p", F.round("p", 6))
 
 
 @query(f"with {_SCORED} select spec1, spec2, cast(p >= 0.45 as integer) as relation from scored where p < 0.45 or p > 0.55")
 def confident_pairs(spark, sf_dir):
-    return M.confident(_scored(spark, sf_dir), 0.45)
+    return M.confident(_Corpus(spark, sf_dir).scored, 0.45)
 
 
 @query(f"with {_SCORED} select round(avg(-ln(greatest(case when y = 1 then p else 1 - p end, 1e-15))), 6) as mean_loss, round(max(-ln(greatest(case when y = 1 then p else 1 - p end, 1e-15))), 6) as max_loss from scored")
 def losses(spark, sf_dir):
     loss = text.log_loss(F.col("p"), F.col("y"))
-    return _scored(spark, sf_dir).agg(F.round(F.avg(loss), 6).alias("mean_loss"), F.round(F.max(loss), 6).alias("max_loss"))
+    return _Corpus(spark, sf_dir).scored.agg(F.round(F.avg(loss), 6).alias("mean_loss"), F.round(F.max(loss), 6).alias("max_loss"))
 
 
 @query(f"with {_SCORED} select position, round(sum(0.0001 * (p - y) * x), 9) as delta from feats join scored using (spec1, spec2) group by position")
 def gradient_step(spark, sf_dir):
-    features = _features(spark, sf_dir)
-    return M.gradient(features, _scored(spark, sf_dir, features), M.RATE).withColumn("delta", F.round("delta", 9))
+    corpus = _Corpus(spark, sf_dir)
+    return M.gradient(corpus.features, corpus.scored, M.RATE).withColumn("delta", F.round("delta", 9))
 
 
 @query("""with c as (select cast(count_if(toxic = 1 and quality = 1) as bigint) as tp, cast(count_if(toxic = 1 and quality = 0) as bigint) as fp, cast(count_if(toxic = 0 and quality = 1) as bigint) as fn, cast(count_if(toxic = 0 and quality = 0) as bigint) as tn from labels)
@@ -297,3 +346,120 @@ def put_if_absent(spark, sf_dir):
 @query("select user_id, count(*) - 1 as value from events group by user_id")
 def upserts(spark, sf_dir):
     return C.upserted(_t(spark, sf_dir, "events"), "user_id")
+
+
+@query(_fit_sql(1))
+def fit_1_step(spark, sf_dir):
+    return _Corpus(spark, sf_dir).fitted(1)
+
+
+@query(_fit_sql(3))
+def fit_3_steps(spark, sf_dir):
+    return _Corpus(spark, sf_dir).fitted(3)
+
+
+_ALONE = "alone as (select doc_id, lang, source, n_chars // 20 as size from documents where text in (select text from documents group by text having count(*) = 1))"
+_UNSEEN = "unseen as (select a.doc_id as spec1, b.doc_id as spec2 from alone a join alone b using (lang, source, size) where a.doc_id < b.doc_id and a.doc_id + 1 <> b.doc_id)"
+
+
+@query(f"""with {_VECS}, {_ALONE}, {_UNSEEN}, diffs as (select spec1, spec2, position, abs(sum(x)) as x from (
+  select spec1, spec2, position, x from unseen join vecs on doc_id = spec1 union all select spec1, spec2, position, -x from unseen join vecs on doc_id = spec2) group by all having sum(x) <> 0),
+graded as (select spec1, spec2, 1 / (1 + exp(-(coalesce(s, 0) + 0.1))) as p from unseen left join (select spec1, spec2, sum((position % 7 - 3) * x) as s from diffs group by all) using (spec1, spec2))
+select spec1, spec2, cast(p >= 0.45 as integer) as relation from graded where p < 0.45 or p > 0.55""")
+def selftrain_round(spark, sf_dir):
+    """What one round of self-training adds: unseen pairs of documents without a copy, of one language, source and size, that are scored with confidence."""
+    corpus = _Corpus(spark, sf_dir)
+    docs = _t(spark, sf_dir, "documents")
+    alike = docs.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("spec1"))
+    alike = docs.join(alike, F.sha2("text", 256) == F.col("h")).select("spec1", F.col("doc_id").alias("spec2"), F.lit(1).alias("relation"))
+    specs = docs.select(F.col("doc_id").alias("spec_id"), "lang", "source", F.expr("n_chars div 20").alias("size"))
+    alone = specs.join(P.singletons(P.cliques(specs, alike)), "spec_id", "left_semi")
+    unseen = corpus.work.written(P.candidates(alone, ["lang", "source", "size"], corpus.pairs), "unseen")
+    return M.confident(corpus.scores(vectors.pair_features(unseen, corpus.vectors), unseen), 0.45)
+
+
+@query(f"""with {_TOKENS} select token, count(distinct doc_id) as df from tokens
+where doc_id in (select a.doc_id from documents a where a.doc_id % 3 = 0 and a.doc_id + 1 in (select doc_id from documents)
+  union select a.doc_id + 1 from documents a where a.doc_id % 3 = 0 and a.doc_id + 1 in (select doc_id from documents)) group by token""")
+def semi_vocab_docs(spark, sf_dir):
+    """Document frequencies among the specs of similar pairs alone."""
+    known = _Corpus(spark, sf_dir).pairs.where("relation = 1")
+    docs = P.in_pairs(_t(spark, sf_dir, "documents").withColumnRenamed("doc_id", "spec_id"), known)
+    return vectors.document_frequency(vectors.counts(vectors.token_rows(docs, "spec_id", "text")))
+
+
+@query("select o_orderkey, o_custkey, o_custkey in (select s_suppkey from supplier) as member from orders")
+def set_membership(spark, sf_dir):
+    suppliers = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("o_custkey"))
+    return C.set_in(_t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), suppliers, "o_custkey")
+
+
+@query("select a.p_partkey as spec1, b.p_partkey as spec2 from part a join part b on a.p_brand = b.p_brand and a.p_type = b.p_type and a.p_partkey < b.p_partkey order by 1, 2 limit 500")
+def topn_candidates(spark, sf_dir):
+    part = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("spec_id"), "p_brand", "p_type")
+    return C.first_n(P.candidates(part, ["p_brand", "p_type"]), ["spec1", "spec2"], 500)
+
+
+@query(f"with {_CLIQUES} select spec_id, root_id, spec_id = root_id as root, count(*) over (partition by root_id) = 1 as single from cliques")
+def clique_roles(spark, sf_dir):
+    m = _members(spark, sf_dir)
+    mark = lambda df, name: df.withColumn(name, F.lit(True))
+    found = m.join(mark(P.roots(m), "root"), "spec_id", "left").join(mark(P.singletons(m), "single"), "spec_id", "left")
+    return found.select("spec_id", "root_id", F.coalesce("root", F.lit(False)).alias("root"), F.coalesce("single", F.lit(False)).alias("single"))
+
+
+@query(f"with {_CLIQUES} select wanted as spec_id, root_id from (select distinct l_partkey * 2 as wanted from lineitem) left join cliques on spec_id = wanted")
+def clique_lookup(spark, sf_dir):
+    return P.lookup(_members(spark, sf_dir), _t(spark, sf_dir, "lineitem").select((F.col("l_partkey") * 2).alias("spec_id")))
+
+
+@query("""select event_id, 3 as n, cast(user_id as double) as first, event_type as second, cast(null as varchar) as beyond, cast(null as double) as number_of_text, user_id > 50 as flag, cast(null as varchar) as text_of_number from events""")
+def json_array(spark, sf_dir):
+    """Elements and typed members of made values, asked for as what they are and as what they aren't."""
+    made = _t(spark, sf_dir, "events").select("event_id", F.to_json(F.array(F.col("user_id").cast("string"), "event_type", F.lit("x"))).alias("a"), F.to_json(F.struct("user_id", "event_type", (F.col("user_id") > 50).alias("flag"))).alias("o"))
+    a, o = F.col("a"), F.col("o")
+    return made.select("event_id", json.length(a).alias("n"), json.element(a, 0, "double").alias("first"), json.element(a, 1).alias("second"), json.element(a, 7).alias("beyond"), json.strict(o, "event_type", "double").alias("number_of_text"), json.strict(o, "flag", "boolean").alias("flag"), json.strict(o, "user_id", "string").alias("text_of_number"))
+
+
+@query("""select event_id, 'last' as a, cast(1 as bigint) as n, 'last' as value from events""")
+def json_repeated_keys(spark, sf_dir):
+    made = _t(spark, sf_dir, "events").select("event_id", F.concat(F.lit('{"a":"'), "event_type", F.lit('","a":"last","b":'), F.col("user_id").cast("string"), F.lit("}")).alias("json"))
+    rows = json.string_attributes(made).groupBy("event_id").agg(F.count("*").alias("n"), F.max("value").alias("value"))
+    return made.select("event_id", json.member(F.col("json"), "a").alias("a")).join(rows, "event_id")
+
+
+@query("""with l as (select l_orderkey, list(l_partkey order by l_partkey) as a, list(l_suppkey order by l_suppkey) as b from lineitem group by l_orderkey)
+select l_orderkey, array_to_string(list_sort(list_concat(a, b)), ' ') as merged, array_to_string(list_concat([0], a), ' ') as pushed, array_to_string(list_concat(a, b), ' ') as on_end, a[1] as popped, array_to_string(a[2:], ' ') as left_over from l""")
+def list_merge(spark, sf_dir):
+    a, b = F.col("a"), F.col("b")
+    lists = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_partkey")).alias("a"), F.sort_array(F.collect_list("l_suppkey")).alias("b"))
+    line = lambda x: F.array_join(x.cast("array<string>"), " ")
+    first, rest = C.pop(a)
+    return lists.select("l_orderkey", line(C.merge_sorted(a, b)).alias("merged"), line(C.push(a, F.lit(0).cast("long"))).alias("pushed"), line(C.push_list(a, b)).alias("on_end"), first.alias("popped"), line(rest).alias("left_over"))
+
+
+@query("""select user_id, max(value) filter (event_type = 'click') as clicks, cast(count(distinct event_type) - max(cast(event_type = 'click' as integer)) as integer) as others from events group by user_id""")
+def map_entries(spark, sf_dir):
+    by_type = _t(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max("value").alias("v"))
+    maps = by_type.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "v"))).alias("m"))
+    return maps.select("user_id", C.map_get(F.col("m"), "click").alias("clicks"), F.size(C.map_delete(F.col("m"), "click")).alias("others"))
+
+
+@query("""with b as (select l_partkey as id, min(l_orderkey * 10 + l_linenumber) as place from lineitem group by l_partkey)
+select s_suppkey as id, cast(0 as bigint) as place from supplier union all select id, place from b where id not in (select s_suppkey from supplier)""")
+def put_repeated(spark, sf_dir):
+    """Keys that come many times are put once, with their first row."""
+    a = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.lit(0).cast("long").alias("place"))
+    b = _t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("place"))
+    return C.put_distinct(a, b, "id", ["place"])
+
+
+@query("select user_id, cast(sum(event_id) - min(event_id) + 100 as bigint) as value from events group by user_id")
+def upserts_by_value(spark, sf_dir):
+    return C.upserted(_t(spark, sf_dir, "events"), "user_id", 100, F.col("event_id"))
+
+
+@query("select user_id, cast(sum(event_id) as bigint) as total, cast(count(*) as bigint) as n from events group by user_id order by user_id desc")
+def ordered_scan(spark, sf_dir):
+    rows = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.sum("event_id").alias("total"), F.count("*").alias("n"))
+    return C.scan(rows, ["user_id"])

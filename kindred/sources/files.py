@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.matcher import Matcher
@@ -66,10 +66,25 @@ def read_model_text(spark: SparkSession, path: str) -> Matcher:
 
 
 def write_pairs(pairs: DataFrame, path: str) -> None:
-    """Appends spec1,spec2,relation."""
+    """Appends spec1,spec2,relation, each part with its header, as read_pairs takes it."""
     pairs.select("spec1", "spec2", "relation").write.mode("append").csv(path, header=True)
 
 
+def read_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """(spec1, spec2, relation) of what write_pairs wrote, in one go or several."""
+    return spark.read.csv(path, header=True, schema="spec1 string, spec2 string, relation int")
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """The text of the column `line`."""
+    lines.select("line").write.mode("overwrite").text(path)
+
+
 def printed(value: str) -> str:
     """A JSON text, indented."""
     return json.dumps(json.loads(value), indent=2, ensure_ascii=False)
+
+
+def printed_column(c: Column) -> Column:
+    """JSON texts, indented; null for what isn't JSON."""
+    return F.to_json(F.try_parse_json(c), {"pretty": "true"})
