@@ -91,7 +91,12 @@ def test_matcher_learns_and_self_trains(spark):
     m = matcher.Matcher.new(vocabulary.count(), 0.05)
     after, delta = matcher.step(data, m)
     assert delta > 0
+    start = m
     m = matcher.fit(data, data, m, epochs=8)
+    one_task, matcher.ONE_TASK = matcher.ONE_TASK, 0
+    apart = matcher.fit(data, data, start, epochs=8)
+    matcher.ONE_TASK = one_task
+    assert np.allclose(apart.weights, m.weights) and apart.bias == pytest.approx(m.bias)
     assert matcher.mean_loss(matcher.predict(data, m)) < matcher.mean_loss(matcher.predict(data, after))
     block = specs.select("spec_id", F.lit(1).alias("b"))
     m2, grown = matcher.self_train(members, block, known, known, vecs, m, step_size=0.45, epochs=1)
