@@ -22,8 +22,8 @@ from ..shared import Shared
 TRAIN_PAGES, EPOCHS, SEED = 600, 12, 42
 #: Elements whose content isn't text: with what they hold they count as one tag, as comments do; an unclosed one reaches to the page's end.
 _OPAQUE = ("script", "style", "noscript", "template", "svg", "textarea")
-_OPENS = re.compile(rf"<({'|'.join(_OPAQUE)})\b", re.I)
-_CLOSES = {t: re.compile(rf"</{t}\s*+>", re.I) for t in _OPAQUE}
+_OPENS = re.compile(rf"<({'|'.join(_OPAQUE)})\b", re.I | re.A)
+_CLOSES = {t: re.compile(rf"</{t}\s*+>", re.I | re.A) for t in _OPAQUE}
 _TAG = re.compile(r"<[!?]?(/?[a-zA-Z][a-zA-Z0-9:-]*+)?+[^<>]*+>")
 _INLINE = frozenset(x for t in ("a", "abbr", "b", "bdi", "cite", "code", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "small", "span", "strong", "sub", "sup", "time", "u", "var") for x in (t, "/" + t))
 OTHER = "?"
@@ -75,14 +75,14 @@ def best_region(words: list[float], tags: list[float]) -> tuple[int, int, float]
 
 
 def _known_region(texts: list[list[str]], content: list[str]) -> tuple[int, int]:
-    """The texts that hold the known content: words that stand in it after the same word score 1, others -3."""
+    """The texts that hold the known content: its first word and words that stand in it after the same word score 1, others -3."""
     pairs = set(zip(content, content[1:]))
-    firsts = set(content)
+    firsts, begins = set(content), content[:1]
     score, last = [], None
     for words in texts:
         s = 0
         for w in words:
-            s += 1 if ((last, w) in pairs or (last is None and w in firsts)) else -3
+            s += 1 if ((last, w) in pairs or [w] == begins or (last is None and w in firsts)) else -3
             last = w
         score.append(float(s))
     return best_region(score, [0.0] * (len(score) - 1))[:2]
