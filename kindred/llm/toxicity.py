@@ -32,8 +32,8 @@ from .words import fingerprint, spans, text_bytes, words
 TRAIN_DOCS, LANDMARKS, ROUNDS, DECAY, STRETCH, LETTERS, SEED = 3000, 600, 3, 0.8, 7, 40, 42
 #: Evidence (Dunning's G) from which a span counts as toxic in training, and how often each such span is also shown with one letter, and with two, put in at each place.
 SIGNIFICANT, INSERTED = 12.0, 4
-#: Clean spans that training solves first; all others that come within the margin join them. Weight of either kind of span in all.
-START, WEIGHT, HARD, SLACK, INSERTED_COUNT = 2000, 5000.0, 0.8, 0.05, 0.4
+#: Clean spans that training solves first (all others within the margin, less SLACK, join them); weight of either kind of span in all; the share of it for clean documents' highest spans; how much inserted insults count beside the toxic documents in the choice of the threshold.
+START, WEIGHT, HARD, SLACK, INSERTED_COUNT = 2000, 5000.0, 0.8, 0.05, 0.2
 #: How much oftener a share of toxic documents than of clean ones must hold a span or four letters that speak for toxicity.
 RATIO = 10
 OTHER = 27
