@@ -53,8 +53,11 @@ def is_number(c: Column) -> Column:
 
 
 def djb2(c: Column) -> Column:
-    """hash * 33 + character over the characters, from 5381, modulo 2**32."""
-    return F.aggregate(F.filter(F.split(c, ""), lambda x: x != ""), F.lit(5381).cast("long"), lambda h, x: (h * 33 + F.ascii(x)) % 4294967296)
+    """hash * 33 + byte over the bytes of UTF-8 as signed numbers, from 5381, modulo 2**32."""
+    coded, n = F.hex(F.encode(c, "UTF-8")), F.octet_length(c)
+    number = lambda i: F.conv(F.substr(coded, i * 2 + 1, F.lit(2)), 16, 10).cast("long")
+    signed = F.transform(F.sequence(F.lit(0), n - 1), lambda i: number(i) - F.when(number(i) > 127, 256).otherwise(0))
+    return F.when(n == 0, F.lit(5381).cast("long")).otherwise(F.aggregate(signed, F.lit(5381).cast("long"), lambda h, x: F.pmod(h * 33 + x, F.lit(1 << 32))))
 
 
 def sigmoid(score: Column) -> Column:

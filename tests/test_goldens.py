@@ -105,3 +105,15 @@ def test_stopwords_from_a_table(spark):
     docs = spark.createDataFrame([(1, "The lens of the cap")], "id int, t string")
     table = spark.createDataFrame([("the",), ("of",), ("the",)], "word string")
     assert sorted(r["token"] for r in vectors.token_rows(docs, "id", "t", table).collect()) == ["cap", "lens"]
+
+
+def test_hash_of_bytes(one):
+    def by_hand(word):
+        h = 5381
+        for x in word.encode():
+            h = (h * 33 + (x - 256 if x > 127 else x)) % (1 << 32)
+        return h
+
+    for word in ("foo", "", "é", "日本 lens"):
+        assert one(text.djb2(F.lit(word))) == by_hand(word)
+    assert one(text.djb2(F.lit(None).cast("string"))) is None
