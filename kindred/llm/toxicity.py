@@ -191,12 +191,18 @@ def _inserted(code: np.ndarray, first: np.ndarray, letters_in: int, times: int,
     return np.concatenate([*out, np.zeros(0, np.int32)]), np.concatenate([[0], np.cumsum(n)]), np.array(of, np.int64)
 
 
-def _kernel(x: tuple, marks: tuple, decay: float, white: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Kernel values of spans x with the landmarks, times `white` if given; the landmarks' subsequences and their values as a matrix."""
+def _features(marks: tuple[np.ndarray, np.ndarray], decay: float) -> tuple[np.ndarray, np.ndarray]:
+    """The landmarks' subsequences, and their values as a matrix of subsequences by landmarks."""
     o, f, v = _table(*marks, decay)
     used, col = np.unique(f, return_inverse=True)
     phi = np.zeros((len(used), len(marks[1]) - 1), np.float32)
     np.add.at(phi, (col, o), v)
+    return used, phi
+
+
+def _kernel(x: tuple[np.ndarray, np.ndarray], features: tuple[np.ndarray, np.ndarray], decay: float, white: np.ndarray | None = None) -> np.ndarray:
+    """Kernel values of spans x with the landmarks whose _features these are, times `white` if given."""
+    used, phi = features
     out = np.empty((len(x[1]) - 1, phi.shape[1]) if white is None else (len(x[1]) - 1, white.shape[1]), np.float64 if white is None else np.float32)
     for lo in range(0, len(out), 2000):
         k = np.zeros((min(2000, len(out) - lo), phi.shape[1]))
@@ -215,7 +221,7 @@ def _kernel(x: tuple, marks: tuple, decay: float, white: np.ndarray | None = Non
                 z = begin[g + step] if g + step < len(begin) else len(po)
                 k[po[begin[g : g + step]]] = np.add.reduceat(phi[at[a:z]] * pv[a:z, None].astype(np.float32), begin[g : g + step] - a)
         out[lo : lo + len(k)] = k if white is None else k @ white
-    return out, used, phi
+    return out
 
 
 def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float, begin: tuple[np.ndarray, float] | None = None) -> tuple[np.ndarray, float]:
@@ -310,24 +316,25 @@ def train(texts: list[str], toxic: list[bool], landmarks: int = LANDMARKS, round
         marks = np.union1d(distinct[np.argsort(-times, kind="stable")][:part], rng.permutation(np.unique(hard))[:part])
         marks = np.union1d(marks, rng.permutation(negative)[: max(0, landmarks - len(marks) - len(changed[1]) + 1)])
         mark = _on_end(_take(s.code, s.first, marks), changed)
-        own, vectors = np.linalg.eigh(_kernel(mark, mark, decay)[0])
+        features = _features(mark, decay)
+        own, vectors = np.linalg.eigh(_kernel(mark, features, decay))
         ok = own > max(1e-6 * own.max(), 1e-12)
         white = vectors[:, ok] / np.sqrt(own[ok])
-        z_pos = np.concatenate([_kernel(v[:2], mark, decay, white)[0] for v in variants])
+        z_pos = np.concatenate([_kernel(v[:2], features, decay, white) for v in variants])
         # All clean spans count. Those beyond the margin don't pull at an SVM with hinge loss, so it is solved with those within it, until no other one is.
         as_highest = np.bincount(hard, minlength=len(guess))
         used = np.union1d(rng.permutation(negative)[:START], np.intersect1d(hard, negative))
         z_neg = np.zeros((0, white.shape[1]), np.float32)
         rows_of, added, solved = np.zeros(0, np.int64), used, None
         while len(added):
-            more, subs, phi = _kernel(_take(s.code, s.first, added), mark, decay, white)
-            z_neg, rows_of = np.concatenate([z_neg, more]), np.concatenate([rows_of, added])
+            z_neg = np.concatenate([z_neg, _kernel(_take(s.code, s.first, added), features, decay, white)])
+            rows_of = np.concatenate([rows_of, added])
             label = np.concatenate([np.ones(len(z_pos)), -np.ones(len(z_neg))])
             # Half the weight of the clean side lies on all its spans alike, half on those that were their documents' highest, whether or not the others are there.
             weight = np.concatenate([*shares, (1 - HARD) / max(1, len(negative)) + HARD * as_highest[rows_of] / max(1, as_highest.sum())]) * WEIGHT
             w, bias = solved = _svm(np.concatenate([z_pos, z_neg]), label, weight, c, solved)
             table = np.zeros(LETTERS**4, np.float32)
-            table[subs] = phi @ (white @ w)
+            table[features[0]] = features[1] @ (white @ w).astype(np.float32)
             model = Model(table, bias, 0.0, decay)
             score = model.score(s.code, s.first)
             added = np.setdiff1d(negative[score[negative] > -1 + SLACK], rows_of)

@@ -21,7 +21,7 @@ def test_kernel_equals_enumeration():
     words = [[0, *rng.integers(1, 5, n).tolist(), 0] for n in (2, 3, 5, 8, 12, 12, 1, 0, 30)]
     code, first = np.concatenate([np.array(w, np.int32) for w in words]), np.concatenate([[0], np.cumsum([len(w) for w in words])])
     marks = toxicity._take(code, first, np.arange(2, 6))
-    got, _, _ = toxicity._kernel((code, first), marks, 0.8)
+    got = toxicity._kernel((code, first), toxicity._features(marks, 0.8), 0.8)
     norm = toxicity.norms(first, 0.8)
     for i, a in enumerate(words):
         for j, b in enumerate(words[2:6]):
