@@ -79,8 +79,8 @@ def mixture(docs: DataFrame, weights: dict[str, int] | None = None, block_tokens
             raise ValueError("weights must be positive and sum to less than 2**31")
         named = named.where(F.col("source").isin(list(weights)))
     named = work.written(named.withColumn("__h", F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string")))), "counts")
-    digits = 1
-    while 16**digits * BUCKET_ROWS < named.count():
+    digits, n = 1, named.count()
+    while 16**digits * BUCKET_ROWS < n:
         digits += 1
     named = named.withColumn("__bucket", F.substring("__h", 1, digits))
     placed = running(named, ["source"], "__bucket", ["__h", "doc_id", "n_words"], F.col("n_words"), "__first")
