@@ -53,12 +53,11 @@ def test_spans_match_brute_force(spark, way, length, seed, letters, monkeypatch)
 
 
 @pytest.mark.parametrize("way", WAYS)
-@pytest.mark.parametrize("fan", [3, 256])
-def test_many_small_blocks_and_workers(spark, way, fan, monkeypatch):
-    monkeypatch.setattr(blocks, "BLOCK_WORDS", 200)
-    monkeypatch.setattr(blocks, "FAN", fan)
-    monkeypatch.setattr(blocks, "WORKER_KEYS", 150)
-    monkeypatch.setattr(suffix_array, "BASE", 300)
+def test_many_small_blocks_and_workers(spark, way, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_WORDS", 400)
+    monkeypatch.setattr(blocks, "FAN", 3)
+    monkeypatch.setattr(blocks, "WORKER_KEYS", 300)
+    monkeypatch.setattr(suffix_array, "BASE", 1000)
     rows = corpus(7)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(map(tuple, way(df, 40).collect())) == brute(rows, 40)
