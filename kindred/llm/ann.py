@@ -3,7 +3,7 @@
 Sun et al., "SRS: solving c-approximate nearest neighbor queries in high dimensional Euclidean space with a tiny index" (VLDB
 2014). Vectors are projected to a few dimensions by Gaussians (2-stable: a projected squared distance over the true one is
 chi-square with that many degrees of freedom), and the projections are indexed by a kd-tree. A query's projected neighbours come nearest first,
-true distances of those are verified, and it stops once the chi-square test holds: at projected distance x and k-th best true distance d,
+leaf by leaf, true distances of those are verified, and it stops once the chi-square test holds: at projected distance x and k-th best true distance d,
 a point no farther than d would with probability `confidence` have turned up already.
 
 The tree's upper part splits the vectors into cells, one task's work each; each cell is a smaller tree. A query first searches its own
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from ..shared import Shared
 
-K, DIMENSIONS, CONFIDENCE, CELL_ROWS, MAX_CELLS, LEAF, SAMPLE, SEED = 10, 12, 0.97, 4096, 1 << 15, 128, 1 << 16, 42
+#: SAMPLE: vectors, projected, of which the driver makes the tree's upper part; CELL_SAMPLE a cell, if that is more.
+K, DIMENSIONS, CONFIDENCE, CELL_ROWS, LEAF, SAMPLE, CELL_SAMPLE, SEED = 10, 12, 0.9, 4096, 128, 1 << 14, 8, 42
 FOUND = "vec_id bigint, neighbour_id bigint, distance double"
 
 
@@ -98,7 +99,8 @@ class Cell:
             stack += [g[: len(g) // 2], g[len(g) // 2 :]]
         at = np.concatenate(order)
         self.ids, self.vectors, self.projected = ids[at], vectors[at], projected[at]
-        self.square = (self.vectors.astype(np.float64) ** 2).sum(1)
+        self.wide = self.vectors.astype(np.float64)
+        self.square = (self.wide**2).sum(1)
         self.low = np.array([self.projected[a : a + n].min(0) for a, n in self.leaves])
         self.high = np.array([self.projected[a : a + n].max(0) for a, n in self.leaves])
 
@@ -112,7 +114,8 @@ class Cell:
         gaps = _gap(projected, self.low, self.high)
         turn = np.argsort(gaps, axis=1, kind="stable")
         limit, going = bound.copy(), np.arange(len(ids))
-        square = (vectors.astype(np.float64) ** 2).sum(1)
+        wide = vectors.astype(np.float64)
+        square = (wide**2).sum(1)
         for t in range(len(self.leaves)):
             leaf = turn[going, t]
             on = gaps[going, leaf] <= psi * limit[going]
@@ -123,15 +126,29 @@ class Cell:
             cuts = np.flatnonzero(np.diff(leaf[by])) + 1
             for q in np.split(going[by], cuts):
                 a, n = self.leaves[turn[q[0], t]]
-                near = ((projected[q, None, :] - self.projected[None, a : a + n, :]) ** 2).sum(2) <= psi * limit[q, None]
-                true = np.maximum(square[q, None] + self.square[None, a : a + n] - 2 * (vectors[q].astype(np.float64) @ self.vectors[a : a + n].astype(np.float64).T), 0)
-                other = self.ids[None, a : a + n]
-                true = np.where(near & (other != ids[q, None]) & (true <= bound[q, None]), true, np.inf)
-                d = np.concatenate([best[q], true], 1)
-                w = np.concatenate([who[q], np.where(np.isinf(true), np.iinfo(np.int64).max, np.broadcast_to(other, true.shape))], 1)
+                true = square[q, None] + self.square[None, a : a + n] - 2 * (wide[q] @ self.wide[a : a + n].T)
+                # Only those that come among the k best so far are looked at closely.
+                row, column = np.nonzero(true <= limit[q, None])
+                other = self.ids[a + column] != ids[q[row]]
+                row, column = row[other], column[other]
+                if not len(row):
+                    continue
+                new = np.flatnonzero(np.bincount(row, minlength=len(q)))
+                at = q[new]
+                wide_true = np.full((len(new), n), np.inf)
+                place = np.searchsorted(new, row)
+                wide_true[place, column] = np.maximum(true[row, column], 0)
+                most = int(np.bincount(place).max())
+                if n > most + k:
+                    few = np.argpartition(wide_true, most, axis=1)[:, : most + 1]
+                else:
+                    few = np.broadcast_to(np.arange(n), wide_true.shape)
+                wide_true = np.take_along_axis(wide_true, few, 1)
+                d = np.concatenate([best[at], wide_true], 1)
+                w = np.concatenate([who[at], np.where(np.isinf(wide_true), np.iinfo(np.int64).max, self.ids[a + few])], 1)
                 keep = np.lexsort((w, d), axis=1)[:, :k]
-                best[q], who[q] = np.take_along_axis(d, keep, 1), np.take_along_axis(w, keep, 1)
-                limit[q] = np.minimum(bound[q], best[q, -1])
+                best[at], who[at] = np.take_along_axis(d, keep, 1), np.take_along_axis(w, keep, 1)
+                limit[at] = np.minimum(bound[at], best[at, -1])
         return who, best
 
 
@@ -148,7 +165,8 @@ def nearest_neighbours(vectors: DataFrame, k: int = K, dimensions: int = DIMENSI
     """
     spark = vectors.sparkSession
     work = Shared(spark, "ann")
-    source = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
+    identifier, vector = F.col(f"`{id_col}`"), F.col(f"`{vector_col}`")
+    source = vectors.where(identifier.isNotNull() & vector.isNotNull()).select(identifier.cast("long").alias("id"), vector.cast("array<float>").alias("v"))
     source = source.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     sizes = source.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     if not sizes or not sizes[0]["n"]:
@@ -158,9 +176,22 @@ def nearest_neighbours(vectors: DataFrame, k: int = K, dimensions: int = DIMENSI
     m = min(dimensions, width)
     gauss = np.random.default_rng(seed).standard_normal((width, m))
     psi = chi_square_quantile(confidence, m)
-    depth = max(0, min(math.ceil(math.log2(max(1, count / cell_rows))), int(math.log2(MAX_CELLS))))
+    depth = max(0, math.ceil(math.log2(max(1, count / cell_rows))))
     matrix = lambda column: column.values.to_numpy(zero_copy_only=False)[column.offsets[0].as_py() : column.offsets[-1].as_py()].reshape(-1, width)
-    sample = np.array([r["v"] for r in source.orderBy(F.xxhash64(F.lit(seed), "id")).limit(SAMPLE).select("v").collect()]) @ gauss if depth else np.zeros((1, m))
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                yield pa.RecordBatch.from_arrays([pa.array([(matrix(b.column(0)).astype(np.float32) @ gauss).astype(np.float32).tobytes()], pa.binary())], names=["p"])
+
+    sample = np.zeros((1, m))
+    if depth:
+        # Drawn by a hash of identifier and vector: rows that share an identifier are drawn each for itself.
+        share = min(1.0, max(SAMPLE, CELL_SAMPLE << depth) / count)
+        drawn = source.where(F.pmod(F.xxhash64(F.lit(seed), "id", "v"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("v")
+        drawn = [np.frombuffer(r["p"], np.float32) for r in drawn.mapInArrow(project, "p binary").collect()]
+        sample = np.concatenate([*drawn, np.zeros(m if not drawn else 0, np.float32)]).reshape(-1, m).astype(np.float64)
+        sample = sample[np.lexsort(sample.T)]
     splits = Splits(sample, depth)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +214,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = K, dimensions: int = DIMENSI
         return pa.table({"cell": table["cell"][:1], **{n: pa.array([a.tobytes()], pa.binary()) for n, a in zip(("ids", "vectors", "projected"), x)}, "low": pa.array([x[2].min(0).tobytes()], pa.binary()), "high": pa.array([x[2].max(0).tobytes()], pa.binary())})
 
     cells = work.written(source.mapInArrow(assign, _ROW).groupBy("cell").applyInArrow(whole, _ROW + ", low binary, high binary"), "cells")
-    boxes = sorted((r["cell"], r["low"], r["high"]) for r in cells.select("cell", "low", "high").collect())  # MAX_CELLS at most
+    boxes = sorted((r["cell"], r["low"], r["high"]) for r in cells.select("cell", "low", "high").collect())  # two corners a cell
     number = np.array([c for c, _, _ in boxes])
     low, high = (np.array([np.frombuffer(b[i], np.float64) for b in boxes]) for i in (1, 2))
 
@@ -198,9 +229,11 @@ def nearest_neighbours(vectors: DataFrame, k: int = K, dimensions: int = DIMENSI
                 for lo in range(0, len(ids), 2048):
                     q = slice(lo, lo + 2048)
                     who, best = tree.search(ids[q], v[q], p[q], np.full(len(ids[q]), np.inf), k, psi)
-                    goes = (_gap(p[q], low, high) <= psi * best[:, -1:]) & (number[None, :] != here)
-                    to = [(c, np.flatnonzero(goes[:, i])) for i, c in enumerate(number)]
-                    to = [(c, g) for c, g in to if len(g)]
+                    to = []
+                    for at in range(0, len(number), 1024):
+                        part = slice(at, at + 1024)
+                        goes = (_gap(p[q], low[part], high[part]) <= psi * best[:, -1:]) & (number[None, part] != here)
+                        to += [(int(number[at + i]), np.flatnonzero(goes[:, i])) for i in np.flatnonzero(goes.any(0))]
                     pack = lambda x, g: x[q][g].tobytes()
                     yield pa.RecordBatch.from_arrays([pa.array([-1] + [c for c, _ in to], pa.int32()), pa.array([ids[q].tobytes()] + [pack(ids, g) for _, g in to], pa.binary()), pa.array([who.tobytes()] + [pack(v, g) for _, g in to], pa.binary()), pa.array([best.tobytes()] + [pack(p, g) for _, g in to], pa.binary()), pa.array([b""] + [best[g, -1].tobytes() for _, g in to], pa.binary())], names=["cell", "ids", "vectors", "projected", "bound"])
 
