@@ -99,8 +99,8 @@ class Cell:
             stack += [g[: len(g) // 2], g[len(g) // 2 :]]
         at = np.concatenate(order)
         self.ids, self.vectors, self.projected = ids[at], vectors[at], projected[at]
-        self.wide = self.vectors.astype(np.float64)
-        self.square = (self.wide**2).sum(1)
+        self.square = (self.vectors.astype(np.float64) ** 2).sum(1)
+        self.near = (self.square / 2).astype(np.float32)
         self.low = np.array([self.projected[a : a + n].min(0) for a, n in self.leaves])
         self.high = np.array([self.projected[a : a + n].max(0) for a, n in self.leaves])
 
@@ -114,8 +114,8 @@ class Cell:
         gaps = _gap(projected, self.low, self.high)
         turn = np.argsort(gaps, axis=1, kind="stable")
         limit, going = bound.copy(), np.arange(len(ids))
-        wide = vectors.astype(np.float64)
-        square = (wide**2).sum(1)
+        square = (vectors.astype(np.float64) ** 2).sum(1)
+        half = (square + self.square.max(initial=0.0)) * 1e-5  # beyond the rounding of 32-bit products
         for t in range(len(self.leaves)):
             leaf = turn[going, t]
             on = gaps[going, leaf] <= psi * limit[going]
@@ -126,18 +126,20 @@ class Cell:
             cuts = np.flatnonzero(np.diff(leaf[by])) + 1
             for q in np.split(going[by], cuts):
                 a, n = self.leaves[turn[q[0], t]]
-                true = square[q, None] + self.square[None, a : a + n] - 2 * (wide[q] @ self.wide[a : a + n].T)
-                # Only those that come among the k best so far are looked at closely.
-                row, column = np.nonzero(true <= limit[q, None])
-                other = self.ids[a + column] != ids[q[row]]
-                row, column = row[other], column[other]
+                # In 32 bits first: only those that may come among the k best so far are looked at closely.
+                about = vectors[q] @ self.vectors[a : a + n].T
+                least = ((square[q] - limit[q] - half[q]) / 2).astype(np.float32)[:, None] + self.near[None, a : a + n]
+                row, column = np.nonzero(about >= least)
+                true = ((vectors[q[row]].astype(np.float64) - self.vectors[a + column]) ** 2).sum(1)
+                other = (self.ids[a + column] != ids[q[row]]) & (true <= limit[q[row]])
+                row, column, true = row[other], column[other], true[other]
                 if not len(row):
                     continue
                 new = np.flatnonzero(np.bincount(row, minlength=len(q)))
                 at = q[new]
                 wide_true = np.full((len(new), n), np.inf)
                 place = np.searchsorted(new, row)
-                wide_true[place, column] = np.maximum(true[row, column], 0)
+                wide_true[place, column] = true
                 most = int(np.bincount(place).max())
                 if n > most + k:
                     few = np.argpartition(wide_true, most, axis=1)[:, : most + 1]
