@@ -253,8 +253,8 @@ def ask(work: Shared, name: str, state: DataFrame, keys_of: Callable[[dict], tup
     """Asks about keys_of(row), (hi, lo, document) of a block's keys in any order, for every row of state.
 
     A key is shared if two or more documents of all blocks have it. reply: "shared" answers for shared keys alone, "all" for all;
-    an answer is a key's rank, from 1, among the keys that are answered for, and with "count" how often it occurs.
-    Ranks follow the keys' order if `to` does.
+    an answer is a name: with "all" the key's rank, from 1, among all keys (in their order if `to` keeps it), with "shared" its worker and its rank there;
+    with "count" it is how often the key occurs, and with "keeper" (for shared keys alone) 1, or 2 to the first block that has it.
     """
     to = to or uniform(workers)
 
@@ -275,25 +275,31 @@ def ask(work: Shared, name: str, state: DataFrame, keys_of: Callable[[dict], tup
         total = np.zeros(place[-1] + 1, np.int64)
         np.add.at(total, place, count[order].astype(np.int64))
         shared = np.ones(len(total), bool)
-        if reply == "shared":
+        if reply in ("shared", "keeper"):
             shared = np.zeros(len(total), bool)
             shared[place[~new]] = True
             shared[place[(tag[order] & U(1)).astype(bool)]] = True
         said = total if reply == "count" else np.cumsum(shared)
+        said = said[place]
+        if reply == "keeper":
+            first = np.full(len(total), np.iinfo(np.int64).max)
+            np.minimum.at(first, place, block[order].astype(np.int64))
+            said = 1 + (block[order].astype(np.int64) == first[place])
         on = np.flatnonzero(shared[place])
         at = order[on]
         by = np.lexsort((tag[at], block[at]))
-        at, said = at[by], said[place[on[by]]]
+        at, said = at[by], said[on[by]]
         data = pack_columns(block[at], tag[at] >> U(1), said, np.full(len(at), me))
         return pa.table({"worker": pa.array([me, -1 - me], pa.int64()), "source": pa.array([me, int(shared.sum())], pa.int64()), "data": pa.array([data, b""], pa.binary())})
 
     asked = routed(state.mapInArrow(questions, ROUTED), _ASKED, to, workers)
     answers = work.written(asked.groupBy("worker").applyInArrow(answer, ROUTED), f"{name}-answers")
     base = np.zeros(workers, np.int64)
-    if reply != "count":
+    if reply == "all":
         for r in answers.where("worker < 0").select("worker", "source").collect():  # one number a worker
             base[-1 - r["worker"]] = r["source"]
-    return Answers(routed(answers.where("worker >= 0"), 4, lambda block, *_: block.astype(np.int64), workers), np.cumsum(base) - base, int(base.sum()))
+    before = np.arange(workers) << 32 if reply == "shared" else np.cumsum(base) - base
+    return Answers(routed(answers.where("worker >= 0"), 4, lambda block, *_: block.astype(np.int64), workers), before, int(base.sum()))
 
 
 def heard(state: DataFrame, answers: Answers, f: Callable[[dict, np.ndarray, np.ndarray], dict], schema: dict[str, pa.DataType], ddl: str) -> DataFrame:

@@ -4,7 +4,8 @@ Kärkkäinen and Sanders's DC3 over all documents' words.
 
 1. Discarding, after Puglisi, Smyth and Turpin: the triples at places 1 and 2 modulo 3 of each document are sorted; a suffix that
    doesn't begin, within its first min_words words, with triples that other documents have too can't share these words, and
-   leaves. What stays are texts: maximal runs of suffixes that stay. A text ends with a sign of its own, which is less than all words.
+   leaves. What stays are texts: maximal runs of suffixes that stay. Of equal texts of several documents, all of whose words are
+   shared by that, one goes on for others to be compared with. A text ends with a sign of its own, which is less than all words.
 2. Words are named by their rank among all words left (in the order of their 64-bit fingerprints: any total order serves).
 3. Down: the triples at places 1 and 2 modulo 3 of every text are sorted by range partitions and named by rank. While names repeat,
    the texts of names, those of class 1 before those of class 2, are the next level's, whose suffixes are ranked first.
@@ -50,9 +51,9 @@ from .words import mix, powers, windows
 
 MIN_WORDS = 50
 #: Symbols of a level that one task ranks alone.
-BASE = 1 << 21
+BASE = 1 << 20
 NAME_BITS, HALF = U(42), U(21)
-#: texts: document's place in its block, identifier, first word; lengths of the texts, with their end signs; their symbols.
+#: texts: document's place in its block, identifier, first word, whether another document has an equal text; lengths of the texts, with their end signs; their symbols.
 _STATE = {"block": pa.int64(), "texts": pa.binary(), "lengths": pa.binary(), "symbols": pa.binary(), "n_texts": pa.int64(), "n_symbols": pa.int64()}
 STATE = "block bigint, texts binary, lengths binary, symbols binary, n_texts bigint, n_symbols bigint"
 
@@ -137,7 +138,36 @@ def _texts(row: dict, shared: np.ndarray, length: int) -> dict:
     owner = np.repeat(np.arange(len(size)), size)
     word = docs.tokens[np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + begin[owner]]
     doc = docs.doc[begin].astype(np.int64)
-    return {"block": row["block"], "texts": pack_columns(doc, docs.ids[doc], begin - docs.first[doc]), "lengths": pack_columns(size), "symbols": pack_columns(word), "n_texts": len(size), "n_symbols": len(word)}
+    return {"block": row["block"], "texts": pack_columns(doc, docs.ids[doc], begin - docs.first[doc], np.zeros(len(size))), "lengths": pack_columns(size), "symbols": pack_columns(word), "n_texts": len(size), "n_symbols": len(word)}
+
+
+def _copies(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of a block's texts (a fingerprint of all words; number of words), and their documents."""
+    doc = unpack_columns(row["texts"], 4)[0].astype(np.int64)
+    lengths = unpack_columns(row["lengths"], 1)[0]
+    word, = unpack_columns(row["symbols"], 1)
+    if not len(lengths):
+        return np.zeros(0, U), np.zeros(0, U), doc
+    first = np.cumsum(lengths.astype(np.int64)) - lengths.astype(np.int64)
+    place = np.arange(len(word)) - np.repeat(first, lengths.astype(np.int64))
+    return mix(np.add.reduceat(mix(word + powers(2)[1:] * (place + 1).astype(U)), first)), lengths, doc
+
+
+def _apart(row: dict, place: np.ndarray, said: np.ndarray) -> dict:
+    """The texts to be ranked, and in `spans` those of which another document has an equal one."""
+    hi, lo, doc = _copies(row)
+    d = Distinct(hi, lo, doc)
+    word = said_of(len(d.hi), place, said)[d.inverse]
+    first = np.zeros(len(hi), bool)
+    first[np.unique(d.inverse, return_index=True)[1]] = True
+    keep = (word == 0) | ((word == 2) & first)
+    texts = [c.astype(np.int64) for c in unpack_columns(row["texts"], 4)]
+    symbols, = unpack_columns(row["symbols"], 1)
+    lengths = lo.astype(np.int64)
+    symbols = symbols[np.repeat(keep, lengths)]
+    whole = pack_columns(*(c[word > 0] for c in texts[:3]), lengths[word > 0])
+    texts[3] = (word > 0).astype(np.int64)
+    return {"block": row["block"], "texts": pack_columns(*(c[keep] for c in texts)), "lengths": pack_columns(lengths[keep]), "symbols": pack_columns(symbols), "n_texts": int(keep.sum()), "n_symbols": len(symbols), "whole": whole}
 
 
 def _replaced(row: dict, symbols: np.ndarray, lengths: np.ndarray | None = None) -> dict:
@@ -206,7 +236,8 @@ def _merged(work: Shared, name: str, both: DataFrame, workers: int) -> DataFrame
                     yield rows(_ROUTED, worker=[row["block"]], source=[row["block"]], data=[pack_columns(hi[order], lo[order], (order * 2 + zero[order]).astype(U), np.full(len(hi), row["block"]))])
 
     def place(table: pa.Table) -> pa.Table:
-        """(block, record, places of class 0 before it, places of the other class before it, worker), by sort: that of class 1 first."""
+        """(block, record, value, worker). The sort with class 1 comes first. value: how many of class 0 come before one of another class; how many of the other class
+        before one of class 0, and with class 1 those of class 0 too."""
         me = table["worker"][0].as_py()
         hi, lo, tag, block = joined_columns(table.sort_by("source")["data"].to_pylist(), 4)
         order = order_of(hi, lo)
@@ -217,7 +248,8 @@ def _merged(work: Shared, name: str, both: DataFrame, workers: int) -> DataFrame
             x[start:] -= int(of[:start].sum())
         counts = pack_columns(np.array([zero[:start].sum(), (~zero[:start]).sum(), zero[start:].sum(), (~zero[start:]).sum()], np.int64))
         by = np.lexsort((tag[order], block[order]))
-        data = pack_columns(block[order][by], tag[order][by] >> U(1), z[by], o[by], np.full(len(by), me))
+        value = np.where(zero, o + np.where(second, 0, z), z)
+        data = pack_columns(block[order][by], tag[order][by] >> U(1), value[by], np.full(len(by), me))
         return pa.table({"worker": pa.array([me, -1 - me], pa.int64()), "source": pa.array([me, me], pa.int64()), "data": pa.array([data, counts], pa.binary())})
 
     to = ranges(both, keys_of, workers)
@@ -226,22 +258,22 @@ def _merged(work: Shared, name: str, both: DataFrame, workers: int) -> DataFrame
     for r in sorted_.where("worker < 0").collect():  # four numbers a worker
         counts[-1 - r["worker"]] = unpack_columns(r["data"], 1)[0].astype(np.int64)
     base = np.cumsum(counts, 0) - counts
-    back = routed(sorted_.where("worker >= 0"), 5, lambda block, *_: block.astype(np.int64), workers)
+    back = routed(sorted_.where("worker >= 0"), 4, lambda block, *_: block.astype(np.int64), workers)
 
     def ranked(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        _, record, z, o, worker = (x.astype(np.int64) for x in joined_columns(right["data"].to_pylist(), 5))
+        _, record, value, worker = (x.astype(np.int64) for x in joined_columns(right["data"].to_pylist(), 4))
         for row in left.to_pylist():
             t = Texts(row)
             sampled = _sampled_ranks(t, row["ranks"]).astype(np.int64)
             _, _, at, zero = t.merging(sampled.astype(U))
             second = record >= int((t.place % 3 < 2).sum())
-            before_zero = z + base[worker, np.where(second, 2, 0)]
-            before_other = o + base[worker, np.where(second, 3, 1)]
+            zeros, others = base[worker, np.where(second, 2, 0)], base[worker, np.where(second, 3, 1)]
             rank = np.where(t.place % 3 == 0, 1, sampled)
             mine = zero[record]
             # Class 0: those of its own class before it, once, and those of either other class. Others: those of class 0, besides the sampled.
-            for on, value in ((mine & ~second, before_zero + before_other), (mine & second, before_other), (~mine, before_zero)):
+            value = value + np.where(mine, others + np.where(second, 0, zeros), zeros)
+            for on in (mine & ~second, mine & second, ~mine):
                 rank[at[record[on]]] += value[on]
             out.append({"block": row["block"], "ranks": pack_columns(rank.astype(U))})
         return pa.table({k: pa.array([x[k] for x in out], kind) for k, kind in _RANKS.items()})
@@ -309,9 +341,13 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
         shared[at[said_of(len(known.hi), place, said)[known.inverse] > 0]] = True
         return _texts(row, shared, min_words)
 
-    state = work.written(heard(blocks, ask(work, "triples", blocks, first, workers, "shared"), stay, _STATE, STATE), "texts")
+    texts = work.written(heard(blocks, ask(work, "triples", blocks, first, workers, "shared"), stay, _STATE, STATE), "texts")
     work.dropped("triples-answers")
     work.dropped("raw")
+    copies = ask(work, "copies", texts, _copies, worker_count(n_blocks, 0), "keeper")
+    state = work.written(heard(texts, copies, _apart, {**_STATE, "whole": pa.binary()}, STATE + ", whole binary"), "apart")
+    work.dropped("copies-answers")
+    work.dropped("texts")
     most, total = state.agg(F.max("n_texts"), F.sum("n_symbols")).first()
     workers, most = worker_count(n_blocks, total or 0), most or 0
     ends = n_blocks * most
@@ -328,18 +364,19 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
         sign = (row["block"] * most + 1 + np.arange(len(lengths))).astype(U)
         return _replaced(row, np.insert(word, np.cumsum(lengths), sign), lengths + 1)
 
-    level0 = work.written(heard(state, ask(work, "words", state, words_of, workers, "all"), named, _STATE, STATE), "level0")
+    named_rows = state.drop("whole")
+    level0 = work.written(heard(named_rows, ask(work, "words", named_rows, words_of, workers, "all"), named, _STATE, STATE), "level0")
     work.dropped("words-answers")
     ranks = suffix_ranks(work, level0, n_blocks)
-    final = state.select("block", "texts", "lengths", "symbols").join(ranks.hint("merge"), "block")
+    final = state.select("block", "texts", "lengths", "symbols", "whole").join(ranks.hint("merge"), "block")
     total = (total or 0) + (level0.agg(F.sum("n_texts")).first()[0] or 0)
     passages = _neighbours(work, final, workers, total, min_words)
     return listed(passages)
 
 
 def _starts(row: dict, length: int) -> tuple[np.ndarray, ...]:
-    """Of each suffix of `length` words or more: its rank, its words' fingerprint, its document in the block and its place there."""
-    doc, _, begin = (x.astype(np.int64) for x in unpack_columns(row["texts"], 3))
+    """Of each suffix of `length` words or more: its rank, its words' fingerprint, its document in the block, its place there, and whether another document has its whole text."""
+    doc, _, begin, several = (x.astype(np.int64) for x in unpack_columns(row["texts"], 4))
     lengths = unpack_columns(row["lengths"], 1)[0].astype(np.int64)
     word, = unpack_columns(row["symbols"], 1)
     ranks, = unpack_columns(row["ranks"], 1)
@@ -347,7 +384,7 @@ def _starts(row: dict, length: int) -> tuple[np.ndarray, ...]:
     text = np.repeat(np.arange(len(lengths)), lengths)
     place = np.arange(len(word)) - first[text]
     at = np.flatnonzero(place + length <= lengths[text])
-    return ranks[at + text[at]], windows(word, length)[at] if len(at) else np.zeros(0, U), doc[text[at]], begin[text[at]] + place[at]
+    return ranks[at + text[at]], windows(word, length)[at] if len(at) else np.zeros(0, U), doc[text[at]], begin[text[at]] + place[at], several[text[at]]
 
 
 def _neighbours(work: Shared, final: DataFrame, workers: int, total: int, length: int) -> DataFrame:
@@ -357,10 +394,10 @@ def _neighbours(work: Shared, final: DataFrame, workers: int, total: int, length
     def records(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                rank, print_, doc, _ = _starts(row, length)
+                rank, print_, doc, _, several = _starts(row, length)
                 if len(rank):
                     order = np.argsort(rank)
-                    yield rows(_ROUTED, worker=[row["block"]], source=[row["block"]], data=[pack_columns(rank[order], print_[order], doc[order], np.full(len(rank), row["block"]), order)])
+                    yield rows(_ROUTED, worker=[row["block"]], source=[row["block"]], data=[pack_columns(rank[order], print_[order], doc[order] * 2 + several[order], np.full(len(rank), row["block"]), order)])
 
     def compare(table: pa.Table) -> pa.Table:
         """(block, record, passage, worker) with the passages of this worker: fingerprint, one document that has it, whether another has."""
@@ -372,8 +409,8 @@ def _neighbours(work: Shared, final: DataFrame, workers: int, total: int, length
         new[1:] = same[1:] != same[:-1]
         group = np.cumsum(new) - 1
         begin = np.flatnonzero(new)
-        holder = block[order] << U(32) | doc[order]
-        differs = holder != holder[begin][group]
+        holder = block[order] << U(32) | doc[order] >> U(1)
+        differs = (holder != holder[begin][group]) | (doc[order] & U(1)).astype(bool)
         several = np.bincount(group, differs, len(begin)) > 0
         edges = pack_columns(same[begin[[0, -1]]], holder[begin[[0, -1]]], several[[0, -1]], np.array([len(begin), 0]))
         verdict = several.astype(np.int64)  # 2 and 3: whatever the first and the last passage turn out to be
@@ -397,13 +434,19 @@ def _neighbours(work: Shared, final: DataFrame, workers: int, total: int, length
         out = []
         _, record, verdict, worker = (x.astype(np.int64) for x in joined_columns(right["data"].to_pylist(), 4))
         for row in left.to_pylist():
-            _, _, doc, place = _starts(row, length)
+            _, _, doc, place, _ = _starts(row, length)
             hit = np.zeros(len(doc), bool)
             hit[record] = known[worker, verdict]
-            owner, ids, _ = (x.astype(np.int64) for x in unpack_columns(row["texts"], 3))
-            which = np.searchsorted(owner, doc[hit])
-            # Places of a document follow each other, as its texts do.
-            found = spans_table(ids, np.zeros(len(ids), np.int64), which, place[hit], length)
+            owner, ids, _, _ = (x.astype(np.int64) for x in unpack_columns(row["texts"], 4))
+            own, own_ids, begin, size = (x.astype(np.int64) for x in unpack_columns(row["whole"], 4))
+            n = size - length + 1
+            doc = np.concatenate([doc[hit], np.repeat(own, n)])
+            place = np.concatenate([place[hit], np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - begin, n)])
+            by = np.lexsort((place, doc))
+            doc, place = doc[by], place[by]
+            docs, at = np.unique(np.concatenate([owner, own]), return_index=True)
+            ids = np.concatenate([ids, own_ids])[at]
+            found = spans_table(ids, np.zeros(len(ids), np.int64), np.searchsorted(docs, doc), place, length)
             out.append(pack_columns(*found.values()))
         return pa.table({"spans": pa.array(out, pa.binary())})
 
