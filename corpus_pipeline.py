@@ -5,7 +5,8 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last re
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm import exact, minhash, mixing, packing, toxicity
@@ -49,9 +50,19 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.repartitionByRange(F.col(slot), F.col(id_)).sortWithinPartitions(slot, id_).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def file_order(docs: DataFrame) -> Column:
+    """Where each row of docs lies among its files, which were written in order but are read in any; of docs that aren't read from files, among its partitions."""
+    try:
+        file = docs.metadataColumn("_metadata")
+        docs.select(file.getField("row_index"))
+    except AnalysisException:
+        return F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("row"))
+    return F.struct(file.getField("file_name").alias("file"), file.getField("row_index").alias("row"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes."""
-    return packing.pack_documents(docs)
+    """Where each piece of each document goes, bins in the order of the documents."""
+    return packing.pack_documents(docs, order=file_order(docs))
 
 
 STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("near dedup", drop_near_copies), ("mixing", mix), ("packing", pack)]

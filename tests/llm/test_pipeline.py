@@ -84,3 +84,21 @@ def test_mixing_orders_the_documents(spark):
     docs = spark.createDataFrame([(i, "word " * 4000, "en", "ab"[i % 2], 1) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
     out = [r["source"] for r in corpus_pipeline.mix(spark, docs, "").collect()]
     assert len(out) == 40 and 8 <= out[:20].count("a") <= 12
+
+
+def test_packed_bins_follow_the_mixture(spark, tmp_path):
+    """Written, and read in another order than that of the files: bins come where the document in slot 0 stands, and hold what they held."""
+    docs = spark.createDataFrame([(i, "word " * (30 + 1500 * (i % 3 > 0) + i), "en", "abc"[i % 3], 1) for i in range(90)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        corpus_pipeline.mix(spark, docs, "").write.parquet(str(tmp_path / "mixed"))
+        order = [r["doc_id"] for f in sorted((tmp_path / "mixed").glob("*.parquet")) for r in spark.read.parquet(str(f)).collect()]
+        mixed = spark.read.parquet(str(tmp_path / "mixed"))
+        packed = [tuple(r) for r in corpus_pipeline.pack(spark, mixed, "").collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    first = [r[4] for r in packed if r[3] == 0]
+    assert len(order) == 90 and order != sorted(order)
+    assert first == sorted(first, key=order.index) and len(first) > 30
+    assert sorted(packed) == sorted(map(tuple, packing.pack_documents(docs).collect()))
+    assert [r[:4] for r in packed if r[0] > 1 and r[3]] and all(a[:3] == b[:3] and a[3] + 1 == b[3] for a, b in zip(packed, packed[1:]) if b[3])
