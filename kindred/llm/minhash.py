@@ -18,19 +18,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..shared import Shared
-from .blocks import _ROUTED, ROUTED, Distinct, U, ask, joined_columns, numbered, pack, pack_columns, routed, rows, said_of, uniform, unpack, worker_count
+from .blocks import _ROUTED, ROUTED, Distinct, U, ask, blobs_of, each_row, give_back, joined_columns, numbered, pack, pack_columns, routed, rows, said_each, uniform, unpack, unpack_columns, worker_count
 from .words import mix, windows, words
 
 COORDINATES, MATCHES, SHINGLE = 64, 32, 3
 _SIG = {"block": pa.int64(), "n_docs": pa.int64(), "doc_ids": pa.binary(), "signatures": pa.binary()}
 SIG = "block bigint, n_docs bigint, doc_ids binary, signatures binary"
 BLOCK_DOCS = 1 << 14
+#: Signatures that are packed or unpacked at once.
+PART = 1 << 14
 #: A posting list of more rows is cut by the lists within it.
 LONG = 256
 
@@ -83,6 +86,20 @@ def _equal(sig: np.ndarray, row: int, others: np.ndarray) -> np.ndarray:
     return np.concatenate([(sig[others[i : i + 4096]] == sig[row]).sum(1) for i in range(0, len(others), 4096)]) if len(others) else np.zeros(0, np.int64)
 
 
+def _signed(blobs: list, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Records, identifiers and signatures of all blobs, unpacked one at a time to their places."""
+    sizes = [zstandard.frame_content_size(b) // (8 * wide) for b in blobs]
+    n, at = sum(sizes), 0
+    known, ids, halves = np.empty(n, U), np.empty(n, U), np.empty((n, wide - 3), U)
+    for b, size in zip(blobs, sizes):
+        part = slice(at, at + size)
+        _, known[part], ids[part], *columns = unpack_columns(b, wide)
+        for i, c in enumerate(columns):
+            halves[part, i] = c
+        at += size
+    return known, ids, halves.view(np.uint32)
+
+
 Found = tuple[list[int], list[int], list[int]]
 
 
@@ -178,8 +195,11 @@ def _edges(work: Shared, docs: DataFrame, coordinates: int, matches: int, shingl
                     yield block()
                     number += 1
                     ids, sigs, held = [], [], 0
+                    give_back()
         if held:
             yield block()
+        ids, sigs = [], []
+        give_back()
 
     named = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     raw = work.written(named.mapInArrow(sign, SIG), "signatures")
@@ -202,22 +222,23 @@ def _edges(work: Shared, docs: DataFrame, coordinates: int, matches: int, shingl
     def post(left: pa.Table, right: pa.Table) -> pa.Table:
         """Postings (kind 0), the signatures that a worker needs for them (kind 1), and links between rows of one signature (kind 2)."""
         out = []
-        _, place, said, _ = joined_columns(right["data"].to_pylist(), 4)
-        for row in left.to_pylist():
-            ids, _, lead, leader = leaders(row)
+        _, place, said, _ = joined_columns(blobs_of(right["data"]), 4)
+        for row in each_row(left):
+            ids, sig, lead, leader = leaders(row)
             other = np.flatnonzero(leader != np.arange(len(ids)))
             out.append((2, row["block"], pack_columns(ids[leader[other]], ids[other])))
-            sig = _read(row, coordinates)[1][lead]
-            d = Distinct(*keys_of(row))
+            sig = sig[lead]
             keys = _keys(sig)
-            count = said_of(len(d.hi), place.astype(np.int64), said.astype(np.int64))[d.inverse].reshape(keys.shape)
+            count = said_each((keys.ravel(), np.zeros(keys.size, U), np.zeros(keys.size, np.int32)), place.astype(np.int64), said.astype(np.int64)).reshape(keys.shape)
             doc, key = _lists(keys, count, coordinates - matches + 1)
             record = row["block"] << 32 | doc
             out.append((0, row["block"], pack_columns(key, record)))
             need = np.unique(owner(key) * len(lead) + doc) if len(doc) else np.zeros(0, np.int64)
-            to, doc = need // max(1, len(lead)), need % max(1, len(lead))
-            halves = np.ascontiguousarray(np.pad(sig[doc], ((0, 0), (0, coordinates % 2)))).view(U)
-            out.append((1, row["block"], pack_columns(to, row["block"] << 32 | doc, ids[lead][doc], *halves.T)))
+            del keys, count, key, record
+            for lo in range(0, len(need), PART):
+                to, doc = need[lo : lo + PART] // len(lead), need[lo : lo + PART] % len(lead)
+                halves = np.ascontiguousarray(np.pad(sig[doc], ((0, 0), (0, coordinates % 2)))).view(U)
+                out.append((1, row["block"], pack_columns(to, row["block"] << 32 | doc, ids[lead][doc], *halves.T)))
         return pa.table({"kind": pa.array([k for k, _, _ in out], pa.int32()), "worker": pa.array([w for _, w, _ in out], pa.int64()), "source": pa.array([w for _, w, _ in out], pa.int64()), "data": pa.array([d for _, _, d in out], pa.binary())})
 
     asked = blocks.groupBy("block").cogroup(counts.table.withColumnRenamed("worker", "block").groupBy("block"))
@@ -231,13 +252,16 @@ def _edges(work: Shared, docs: DataFrame, coordinates: int, matches: int, shingl
         return pa.table({"doc_a": e[:, 0], "doc_b": e[:, 1], "matches": e[:, 2].astype(np.int32)})
 
     def merge(left: pa.Table, right: pa.Table) -> pa.Table:
-        key, record = joined_columns(left["data"].to_pylist(), 2)
-        _, known, ids, *halves = joined_columns(right["data"].to_pylist(), wide)
-        sig = np.ascontiguousarray(np.stack(halves, 1)).view(np.uint32)[:, :coordinates] if len(known) else np.zeros((0, coordinates), np.uint32)
+        key, record = joined_columns(blobs_of(left["data"]), 2)
+        known, ids, sig = _signed(blobs_of(right["data"]), wide)
+        sig = sig[:, :coordinates]
         by = np.argsort(known)
         a, b, m = _compared(key, by[np.searchsorted(known[by], record)] if len(record) else np.zeros(0, np.int64), np.ascontiguousarray(sig), matches, way)
         ids = ids.view(np.int64)
-        return pairs(ids[a], ids[b], m)
+        found = pairs(ids[a], ids[b], m)
+        del sig, known
+        give_back()
+        return found
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import Shared
-from .blocks import SPANS, Distinct, Docs, U, ask, heard, numbered, pack_columns, said_of, spans_table, token_blocks, unpack, unpack_columns, worker_count
+from .blocks import SPANS, Docs, U, ask, heard, numbered, pack_columns, said_each, spans_table, token_blocks, unpack, unpack_columns, worker_count
 from .words import mix, powers
 
 MIN_WORDS = 50
+#: Windows that are read at once.
+PART = 1 << 16
 _STATE = {"block": pa.int64(), "n": pa.int64(), "doc_ids": pa.binary(), "lengths": pa.binary(), "symbols": pa.binary(), "windows": pa.binary()}
 STATE = "block bigint, n bigint, doc_ids binary, lengths binary, symbols binary, windows binary"
 
@@ -44,9 +46,9 @@ class Level:
         self.symbols = symbols
         new = np.ones(n, bool)
         new[1:] = (symbols[1:] != symbols[:-1]) | (symbols[1:] == 0)
-        self.run_start = np.flatnonzero(new)
-        self.run_end = np.append(self.run_start[1:], n)
-        self.run_of = np.cumsum(new) - 1
+        self.run_start = np.flatnonzero(new).astype(np.int32)
+        self.run_end = np.append(self.run_start[1:], np.int32(n))
+        self.run_of = np.cumsum(new, dtype=np.int32) - 1
         size = (self.run_end - self.run_start).astype(U)
         one = symbols[self.run_start]
         long = size > 1
@@ -58,7 +60,7 @@ class Level:
         self.key, self.fresh = self.run.copy(), long.copy()
         self.key[joined] = mix(self.run[joined] * p[3] + self.run[joined + 1] * p[4] + U(2 * level + 1))
         self.fresh[joined] = True
-        self.element_of = np.cumsum(keep) - 1
+        self.element_of = np.cumsum(keep, dtype=np.int32) - 1
         self.key, self.fresh, self.start = self.key[keep], self.fresh[keep], self.run_start[keep]
 
     def keys(self, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,6 +78,14 @@ class Level:
         """What is left, in the next level's string, of windows lo .. hi - 1, and what they spell so far."""
         if not len(self.symbols):
             return lo, hi, spelt
+        out = np.empty_like(lo), np.empty_like(hi), np.empty_like(spelt)
+        for at in range(0, len(lo), PART):
+            part = slice(at, at + PART)
+            for whole, x in zip(out, self._read(lo[part], hi[part], spelt[part])):
+                whole[part] = x
+        return out
+
+    def _read(self, lo: np.ndarray, hi: np.ndarray, spelt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         some = hi > lo
         at, last = np.where(some, lo, 0), np.where(some, hi - 1, 0)
         r, q = self.run_of[at], self.run_of[last]
@@ -165,8 +175,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
         def onward(row: dict, place: np.ndarray, said: np.ndarray, level: int = level, read=read) -> dict:
             symbols, doc, (at, lo, hi, spelt) = read(row)
             now = Level(symbols, level)
-            d = Distinct(*now.keys(doc))
-            following = now.named(said_of(len(d.hi), place, said)[d.inverse], level)
+            following = now.named(said_each(now.keys(doc), place, said), level)
             return _row(row, *_compact(following, doc[now.start], [at, *now.read(lo, hi, spelt)]))
 
         answers = ask(work, f"level{level}", state, keys_of, workers, "shared")
@@ -184,8 +193,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
 
     def spans(row: dict, place: np.ndarray, said: np.ndarray) -> dict:
         hi, lo, doc = spelling(row)
-        d = Distinct(hi, lo, doc)
-        hit = said_of(len(d.hi), place, said)[d.inverse] > 0
+        hit = said_each((hi, lo, doc), place, said) > 0
         first = np.concatenate([[0], np.cumsum(unpack(row["lengths"], np.int64))])
         found = spans_table(unpack(row["doc_ids"], np.int64), first, doc[hit], unpack_columns(row["windows"], 4)[0].astype(np.int64)[hit], min_words)
         return {"block": row["block"], "n": 0, "doc_ids": b"", "lengths": b"", "symbols": pack_columns(*found.values()), "windows": b""}

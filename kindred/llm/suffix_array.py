@@ -32,9 +32,12 @@ from .blocks import (
     Docs,
     U,
     ask,
+    blobs_of,
+    each_row,
     heard,
     joined_columns,
     numbered,
+    order_by,
     order_of,
     pack_columns,
     ranges,
@@ -228,7 +231,7 @@ def _merged(work: Shared, name: str, both: DataFrame, workers: int) -> DataFrame
 
     def records(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in each_row(batch):
                 t = Texts(row)
                 hi, lo, _, zero = t.merging(_sampled_ranks(t, row["ranks"]))
                 if len(hi):
@@ -239,7 +242,7 @@ def _merged(work: Shared, name: str, both: DataFrame, workers: int) -> DataFrame
         """(block, record, value, worker). The sort with class 1 comes first. value: how many of class 0 come before one of another class; how many of the other class
         before one of class 0, and with class 1 those of class 0 too."""
         me = table["worker"][0].as_py()
-        hi, lo, tag, block = joined_columns(table.sort_by("source")["data"].to_pylist(), 4)
+        hi, lo, tag, block = joined_columns(blobs_of(table.sort_by("source")["data"]), 4)
         order = order_of(hi, lo)
         zero, second = (tag[order] & U(1)).astype(bool), (hi[order] >> U(63)).astype(bool)
         z, o = np.cumsum(zero) - zero, np.cumsum(~zero) - ~zero
@@ -247,7 +250,7 @@ def _merged(work: Shared, name: str, both: DataFrame, workers: int) -> DataFrame
         for x, of in ((z, zero), (o, ~zero)):
             x[start:] -= int(of[:start].sum())
         counts = pack_columns(np.array([zero[:start].sum(), (~zero[:start]).sum(), zero[start:].sum(), (~zero[start:]).sum()], np.int64))
-        by = np.lexsort((tag[order], block[order]))
+        by = order_by(block[order], tag[order])
         value = np.where(zero, o + np.where(second, 0, z), z)
         data = pack_columns(block[order][by], tag[order][by] >> U(1), value[by], np.full(len(by), me))
         return pa.table({"worker": pa.array([me, -1 - me], pa.int64()), "source": pa.array([me, me], pa.int64()), "data": pa.array([data, counts], pa.binary())})
@@ -262,8 +265,8 @@ def _merged(work: Shared, name: str, both: DataFrame, workers: int) -> DataFrame
 
     def ranked(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        _, record, value, worker = (x.astype(np.int64) for x in joined_columns(right["data"].to_pylist(), 4))
-        for row in left.to_pylist():
+        _, record, value, worker = (x.astype(np.int64) for x in joined_columns(blobs_of(right["data"]), 4))
+        for row in each_row(left):
             t = Texts(row)
             sampled = _sampled_ranks(t, row["ranks"]).astype(np.int64)
             _, _, at, zero = t.merging(sampled.astype(U))
@@ -393,7 +396,7 @@ def _neighbours(work: Shared, final: DataFrame, workers: int, total: int, length
 
     def records(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in each_row(batch):
                 rank, print_, doc, _, several = _starts(row, length)
                 if len(rank):
                     order = np.argsort(rank)
@@ -402,7 +405,7 @@ def _neighbours(work: Shared, final: DataFrame, workers: int, total: int, length
     def compare(table: pa.Table) -> pa.Table:
         """(block, record, passage, worker) with the passages of this worker: fingerprint, one document that has it, whether another has."""
         me = table["worker"][0].as_py()
-        rank, print_, doc, block, record = joined_columns(table["data"].to_pylist(), 5)
+        rank, print_, doc, block, record = joined_columns(blobs_of(table["data"]), 5)
         order = np.argsort(rank)
         same = print_[order]
         new = np.ones(len(order), bool)
@@ -417,7 +420,7 @@ def _neighbours(work: Shared, final: DataFrame, workers: int, total: int, length
         verdict[0], verdict[-1] = 2, 3
         if len(begin) == 1:
             verdict[0] = 2
-        by = np.lexsort((record[order], block[order]))
+        by = order_by(block[order], record[order])
         at = order[by]
         data = pack_columns(block[at], record[at], verdict[group[by]], np.full(len(at), me))
         return pa.table({"worker": pa.array([me, -1 - me], pa.int64()), "source": pa.array([me, me], pa.int64()), "data": pa.array([data, edges], pa.binary())})
@@ -432,8 +435,8 @@ def _neighbours(work: Shared, final: DataFrame, workers: int, total: int, length
 
     def spans(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        _, record, verdict, worker = (x.astype(np.int64) for x in joined_columns(right["data"].to_pylist(), 4))
-        for row in left.to_pylist():
+        _, record, verdict, worker = (x.astype(np.int64) for x in joined_columns(blobs_of(right["data"]), 4))
+        for row in each_row(left):
             _, _, doc, place, _ = _starts(row, length)
             hit = np.zeros(len(doc), bool)
             hit[record] = known[worker, verdict]
