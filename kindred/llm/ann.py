@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from ..shared import Shared
 
+#: SENT_MB: of queries for other cells that a task holds.
+SENT_MB = 8
 #: SAMPLE: vectors, projected, of which the driver makes the tree's upper part; CELL_SAMPLE a cell, if that is more.
 K, DIMENSIONS, CONFIDENCE, CELL_ROWS, LEAF, SAMPLE, CELL_SAMPLE, SEED = 10, 12, 0.9, 4096, 128, 1 << 14, 8, 42
 FOUND = "vec_id bigint, neighbour_id bigint, distance double"
@@ -154,17 +156,39 @@ class Cell:
         return who, best
 
 
+def batches_of(found: Iterator[tuple], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, and four columns of bytes) in batches that end with the row with which they reach `most` bytes."""
+    held: list[tuple] = []
+    size = 0
+
+    def batch() -> pa.RecordBatch:
+        kinds = [pa.int32(), *[pa.binary()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds)], names=["cell", "ids", "vectors", "projected", "bound"])
+
+    for row in found:
+        held.append(row)
+        size += sum(map(len, row[1:]))
+        if size >= most:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
 _ROW = "cell int, ids binary, vectors binary, projected binary"
 
 
-def nearest_neighbours(vectors: DataFrame, k: int = K, dimensions: int = DIMENSIONS, confidence: float = CONFIDENCE, cell_rows: int = CELL_ROWS, seed: int = SEED, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, neighbour_id, rank, distance): the approximately k nearest other vectors of every vector, by Euclidean distance.
+def nearest_neighbours(vectors: DataFrame, k: int = K, dimensions: int = DIMENSIONS, confidence: float = CONFIDENCE, cell_rows: int = CELL_ROWS, seed: int = SEED, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 1) -> DataFrame:
+    """(vec_id, neighbour_id, rank, distance): the approximately k nearest other vectors of every query, by Euclidean distance.
 
+    Queries are the vectors whose identifier is divisible by `every`: all of them, unless it is given. They are searched for among all vectors.
     Each true neighbour is found with a probability of at least `confidence`, on average. Equal distances are ranked by identifier;
     repeated vectors are neighbours at distance 0, and rows that share an identifier aren't each other's neighbours. Rows whose identifier or vector is null,
     whose vector isn't as long as the most are, or that hold a null, NaN or infinite number, are left out. Fewer than k + 1 vectors: as many neighbours as there are. Other columns
     are ignored; an empty table gives no row.
     """
+    if every < 1:
+        raise ValueError("every must be positive")
     spark = vectors.sparkSession
     work = Shared(spark, "ann")
     identifier, vector = F.col(f"`{id_col}`"), F.col(f"`{vector_col}`")
@@ -226,18 +250,26 @@ def nearest_neighbours(vectors: DataFrame, k: int = K, dimensions: int = DIMENSI
             for row in range(len(b)):
                 t = pa.Table.from_batches([b.slice(row, 1)])
                 ids, v, p = gathered(t)
+                asks = ids % every == 0
+                if not asks.any():
+                    continue
                 tree = Cell(ids, v, p)
+                ids, v, p = ids[asks], v[asks], p[asks]
                 here = t["cell"][0].as_py()
                 for lo in range(0, len(ids), 2048):
                     q = slice(lo, lo + 2048)
                     who, best = tree.search(ids[q], v[q], p[q], np.full(len(ids[q]), np.inf), k, psi)
-                    to = []
-                    for at in range(0, len(number), 1024):
-                        part = slice(at, at + 1024)
-                        goes = (_gap(p[q], low[part], high[part]) <= psi * best[:, -1:]) & (number[None, part] != here)
-                        to += [(int(number[at + i]), np.flatnonzero(goes[:, i])) for i in np.flatnonzero(goes.any(0))]
-                    pack = lambda x, g: x[q][g].tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([-1] + [c for c, _ in to], pa.int32()), pa.array([ids[q].tobytes()] + [pack(ids, g) for _, g in to], pa.binary()), pa.array([who.tobytes()] + [pack(v, g) for _, g in to], pa.binary()), pa.array([best.tobytes()] + [pack(p, g) for _, g in to], pa.binary()), pa.array([b""] + [best[g, -1].tobytes() for _, g in to], pa.binary())], names=["cell", "ids", "vectors", "projected", "bound"])
+                    yield from batches_of(going(here, ids[q], v[q], p[q], who, best), SENT_MB << 20)
+
+    def going(here: int, ids: np.ndarray, v: np.ndarray, p: np.ndarray, who: np.ndarray, best: np.ndarray) -> Iterator[tuple]:
+        """Rows (cell, ids, vectors, projected, bound): what queries have found in their own cell, as cell -1, and queries for others."""
+        yield -1, ids.tobytes(), who.tobytes(), best.tobytes(), b""
+        for at in range(0, len(number), 1024):
+            part = slice(at, at + 1024)
+            goes = (_gap(p, low[part], high[part]) <= psi * best[:, -1:]) & (number[None, part] != here)
+            for i in np.flatnonzero(goes.any(0)):
+                g = np.flatnonzero(goes[:, i])
+                yield int(number[at + i]), ids[g].tobytes(), v[g].tobytes(), p[g].tobytes(), best[g, -1].tobytes()
 
     first = work.written(cells.select("cell", "ids", "vectors", "projected").mapInArrow(own, _ROW + ", bound binary"), "first")
 
@@ -254,10 +286,13 @@ def nearest_neighbours(vectors: DataFrame, k: int = K, dimensions: int = DIMENSI
         out = [listed(np.zeros(0, np.int64), np.zeros((0, k), np.int64), np.zeros((0, k)))]
         if len(left) and len(right):
             tree = Cell(*gathered(left))
-            for i in range(len(right)):
-                part = right.slice(i, 1)
+            # Those of many cells are searched for together, some 2048 at a time.
+            before = np.cumsum([len(x.as_buffer()) // 8 for x in right["ids"]])
+            ends = np.append(np.flatnonzero(np.diff(before // 2048)) + 1, len(right))
+            for lo, hi in zip([0, *ends[:-1]], ends):
+                part = right.slice(lo, hi - lo)
                 ids, v, p = gathered(part)
-                out.append(listed(ids, *tree.search(ids, v, p, np.frombuffer(part["bound"][0].as_py(), np.float64), k, psi)))
+                out.append(listed(ids, *tree.search(ids, v, p, np.frombuffer(b"".join(part["bound"].to_pylist()), np.float64), k, psi)))
         return pa.concat_tables(out)
 
     found = first.where("cell = -1").mapInArrow(unpacked, FOUND).union(cells.groupBy("cell").cogroup(first.where("cell >= 0").groupBy("cell")).applyInArrow(others, FOUND))

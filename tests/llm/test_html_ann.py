@@ -116,3 +116,25 @@ def test_few_equal_and_empty_vectors(spark):
     assert got[0] == [1, 2, 3] and got[2] == [0, 1, 3] and got[29] == [0, 1, 2]
     assert ann.nearest_neighbours(table([(1, [0.0] * 4), (2, [0.0] * 4)]), k=3).count() == 2
     assert ann.nearest_neighbours(table([(1, []), (2, [])]), k=3).count() == 0
+
+
+def test_queries_are_searched_for_among_all_vectors(spark):
+    """Queries alone have rows, the same ones as in a search of all, and true neighbours from all vectors."""
+    rng = np.random.default_rng(9)
+    v = (rng.standard_normal((900, 8)) + 3 * rng.integers(0, 3, (900, 1))).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<float>").repartition(4)
+    few = [tuple(r) for r in ann.nearest_neighbours(df, k=10, cell_rows=60, every=100).collect()]
+    assert {r[0] for r in few} == set(range(0, 900, 100)) and len(few) == 90
+    assert sorted(few) == sorted(tuple(r) for r in ann.nearest_neighbours(df, k=10, cell_rows=60).where("vec_id % 100 = 0").collect())
+    _, near = brute(v, 10)
+    assert len({(i, j) for i in range(0, 900, 100) for j in near[i]} & {r[:2] for r in few}) >= 81
+    assert ann.nearest_neighbours(df.where("vec_id % 100 <> 0"), cell_rows=60, every=100).count() == 0
+
+
+def test_queries_for_other_cells_leave_in_small_batches():
+    made = []
+    found = ((made.append(i), (i, b"i" * 10, b"v" * 60, b"p" * 20, b"b" * 10))[1] for i in range(95))
+    batches = ann.batches_of(found, 1000)
+    assert len(next(batches)) == 10 and len(made) == 10
+    rest = list(batches)
+    assert [len(b) for b in rest] == [10] * 8 + [5] and [x for b in rest for x in b.column(0).to_pylist()] == list(range(10, 95))
