@@ -2,10 +2,11 @@
 
 Kärkkäinen and Sanders's DC3 over all documents' words.
 
-1. Discarding, after Puglisi, Smyth and Turpin: the triples at places 1 and 2 modulo 3 of each document are sorted; a suffix that
-   doesn't begin, within its first min_words words, with triples that other documents have too can't share these words, and
-   leaves. What stays are texts: maximal runs of suffixes that stay. Of equal texts of several documents, all of whose words are
-   shared by that, one goes on for others to be compared with. A text ends with a sign of its own, which is less than all words.
+1. Discarding, before the sort: a suffix's first min_words words are known by the least fingerprint of the shorter windows in them
+   (winnowing, after Schleimer, Wilkerson and Aiken), which equal words have alike and which neighbours mostly share; a suffix whose
+   least fingerprint no other document has can't share these words, and leaves. What stays are texts: maximal runs of suffixes that
+   stay, in blocks of their own, since they are few. Of equal texts of several documents, all of whose words are shared by that,
+   one goes on for others to be compared with. A text ends with a sign of its own, which is less than all words.
 2. Words are named by their rank among all words left (in the order of their 64-bit fingerprints: any total order serves).
 3. Down: the triples at places 1 and 2 modulo 3 of every text are sorted by range partitions and named by rank. While names repeat,
    the texts of names, those of class 1 before those of class 2, are the next level's, whose suffixes are ranked first.
@@ -34,6 +35,7 @@ from .blocks import (
     ask,
     blobs_of,
     each_row,
+    grouped,
     heard,
     joined_columns,
     numbered,
@@ -61,8 +63,13 @@ _STATE = {"block": pa.int64(), "texts": pa.binary(), "lengths": pa.binary(), "sy
 STATE = "block bigint, texts binary, lengths binary, symbols binary, n_texts bigint, n_symbols bigint"
 
 
-def key(a: np.ndarray, b: np.ndarray, c: np.ndarray, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(which, a, b, c) in two numbers of the same order; a, b and c below 2**42."""
+def key(a: np.ndarray, b: np.ndarray, c: np.ndarray, which: int = 0, bits: tuple[int, int, int] = (42, 42, 42)) -> tuple[np.ndarray, np.ndarray]:
+    """(which, a, b, c) in two numbers of the same order; a, b and c have so many bits, 42 at most. The first number takes as much as it can, so that the second seldom decides."""
+    rest = sum(bits) - 63
+    if rest <= 0:
+        return U(which) << U(63) | a << U(bits[1] + bits[2]) | b << U(bits[2]) | c, np.zeros(len(a), U)
+    if bits[0] + bits[1] <= 63:
+        return U(which) << U(63) | a << U(63 - bits[0]) | b << U(63 - bits[0] - bits[1]) | c >> U(rest), c & U((1 << rest) - 1)
     return U(which) << U(63) | a << HALF | b >> HALF, (b & U((1 << 21) - 1)) << NAME_BITS | c
 
 
@@ -89,50 +96,61 @@ class Texts:
         inside = at + step < self.end[at]
         return np.where(inside, values[np.minimum(at + step, max(len(values) - 1, 0))], U(0)) if len(at) else np.zeros(0, U)
 
-    def triples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def triples(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """bits: of a symbol."""
         at, _ = self.sampled()
-        return *key(self.symbols[at], self.following(self.symbols, at, 1), self.following(self.symbols, at, 2)), at
+        return *key(self.symbols[at], self.following(self.symbols, at, 1), self.following(self.symbols, at, 2), 0, (bits, bits, bits)), at
 
-    def merging(self, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The keys of the merge, (hi, lo), the place that each is about, and whether it is one of class 0. ranks: of sampled places, 0 for others."""
+    def merging(self, ranks: np.ndarray, bits: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The keys of the merge, (hi, lo), the place that each is about, and whether it is one of class 0. ranks: of sampled places, 0 for others; bits: of a symbol, of a rank."""
+        s, r = bits
         kind = self.place % 3
         at = np.concatenate([np.flatnonzero(kind < 2), np.flatnonzero(kind != 1)])
         n = int((kind < 2).sum())
         a, b = at[:n], at[n:]
-        first = key(self.symbols[a], self.following(ranks, a, 1), np.zeros(len(a), U))
-        second = key(self.symbols[b], self.following(self.symbols, b, 1), self.following(ranks, b, 2), 1)
+        first = key(self.symbols[a], self.following(ranks, a, 1), np.zeros(len(a), U), 0, (s, r, 0))
+        second = key(self.symbols[b], self.following(self.symbols, b, 1), self.following(ranks, b, 2), 1, (s, s, r))
         return np.concatenate([first[0], second[0]]), np.concatenate([first[1], second[1]]), at, kind[at] == 0
 
 
-def _triples(docs: Docs) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the triples of class 1 and 2, and their fingerprints."""
-    p, t = powers(4), docs.tokens
-    at = np.flatnonzero((docs.left() >= 3) & (docs.at() % 3 > 0))
-    return at, mix(t[at] * p[1] + t[at + 1] * p[2] + t[at + 2] * p[3])
+def _least(docs: Docs, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of suffixes of `length` words or more; where runs of one document's that have one least fingerprint begin among them; and these fingerprints.
 
+    Least of the windows, of two thirds of the words, in the first `length` words: suffixes that begin with equal words have equal ones.
+    """
+    wide, done = _wide(length), 1
+    least = windows(docs.tokens, length - wide + 1)
+    while done < wide:
+        step = min(done, wide - done)
+        least = np.minimum(least[:-step], least[step:])
+        done += step
+    at = np.flatnonzero(docs.left() >= length)
+    least, doc = least[at], docs.doc[at]
+    new = np.ones(len(at), bool)
+    new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
+    begin = np.flatnonzero(new)
+    return at, begin, mix(least[begin])  # mixed, since the least ones lie close together and owners have ranges
+
+
+def _wide(length: int) -> int:
+    """How many windows of length - _wide(length) + 1 words lie in `length` words."""
+    return max(1, length // 3)
 
-def _steps(on: np.ndarray) -> np.ndarray:
-    """For each place, how many of it, the third after it, the sixth and so on are on without a break."""
-    n = -(-max(len(on), 1) // 3) * 3
-    grid = np.zeros(n, bool)
-    grid[: len(on)] = on
-    grid = grid.reshape(-1, 3)
-    at = np.arange(len(grid))[:, None]
-    off = np.where(grid, len(grid), at)
-    off = np.minimum.accumulate(off[::-1], axis=0)[::-1]
-    return (off - at).ravel()[: len(on)]
 
+def _least_keys(docs: Docs, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    at, begin, hi = _least(docs, length)
+    return hi, np.zeros(len(hi), U), docs.doc[at[begin]]
 
-def _staying(docs: Docs, shared: np.ndarray, length: int) -> np.ndarray:
-    """Words from which `length` words may be shared: from one of the first three, all triples, three words apart, are."""
-    steps, n = _steps(shared), len(docs.tokens)
-    enough = np.concatenate([steps >= (length - 2) // 3, np.zeros(2, bool)])
-    return np.flatnonzero((docs.left() >= length) & (enough[:n] | enough[1 : n + 1] | enough[2:]))
 
+def _staying(docs: Docs, length: int, place: np.ndarray, said: np.ndarray) -> np.ndarray:
+    """Words from which `length` words may be shared: another document has their least fingerprint."""
+    at, begin, hi = _least(docs, length)
+    known = Distinct(hi, np.zeros(len(hi), U), docs.doc[at[begin]])
+    shared = said_of(len(known.hi), place, said)[known.inverse] > 0
+    return at[np.repeat(shared, np.diff(np.append(begin, len(at))))]
 
-def _texts(row: dict, shared: np.ndarray, length: int) -> dict:
-    docs = Docs(row)
-    at = _staying(docs, shared, length)
+
+def _texts(row: dict, docs: Docs, at: np.ndarray, length: int) -> dict:
     new = np.ones(len(at), bool)
     new[1:] = (np.diff(at) > 1) | (docs.doc[at[1:]] != docs.doc[at[:-1]])
     begin = at[new]
@@ -144,6 +162,28 @@ def _texts(row: dict, shared: np.ndarray, length: int) -> dict:
     return {"block": row["block"], "texts": pack_columns(doc, docs.ids[doc], begin - docs.first[doc], np.zeros(len(size))), "lengths": pack_columns(size), "symbols": pack_columns(word), "n_texts": len(size), "n_symbols": len(word)}
 
 
+def _gathered(work: Shared, texts: DataFrame) -> tuple[DataFrame, int]:
+    """texts in blocks of about BLOCK_WORDS symbols, several of the old ones each, and how many blocks these are. Two numbers a block go to the driver."""
+    groups = grouped({r["block"]: r["n_symbols"] for r in texts.select("block", "n_symbols").collect()})
+    of = texts.sparkSession.createDataFrame(list(groups.items()) or [(0, 0)], "block bigint, new_block bigint")
+
+    def together(table: pa.Table) -> pa.Table:
+        columns, lengths, symbols, docs = [], [], [], 0
+        for row in each_row(table.sort_by("block")):
+            own = unpack_columns(row["texts"], 4)
+            if len(own[0]):
+                own[0] = own[0] + U(docs)  # documents are numbered on
+                docs = int(own[0].max()) + 1
+            columns.append(own)
+            lengths += unpack_columns(row["lengths"], 1)
+            symbols += unpack_columns(row["symbols"], 1)
+        lengths, symbols = np.concatenate(lengths), np.concatenate(symbols)
+        row = {"block": table["new_block"][0].as_py(), "texts": pack_columns(*map(np.concatenate, zip(*columns))), "lengths": pack_columns(lengths), "symbols": pack_columns(symbols), "n_texts": len(lengths), "n_symbols": len(symbols)}
+        return pa.table({k: pa.array([row[k]], kind) for k, kind in _STATE.items()})
+
+    return work.written(texts.join(F.broadcast(of), "block").groupBy("new_block").applyInArrow(together, STATE), "gathered"), len(set(groups.values()))
+
+
 def _copies(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of a block's texts (a fingerprint of all words; number of words), and their documents."""
     doc = unpack_columns(row["texts"], 4)[0].astype(np.int64)
@@ -221,19 +261,19 @@ def _sampled_ranks(t: Texts, ranks: bytes) -> np.ndarray:
     return out
 
 
-def _merged(work: Shared, name: str, both: DataFrame, workers: int) -> DataFrame:
-    """Ranks of all suffixes of a level. both: its state with `ranks`, those of the next level's suffixes."""
+def _merged(work: Shared, name: str, both: DataFrame, workers: int, blocks: int, bits: tuple[int, int]) -> DataFrame:
+    """Ranks of all suffixes of a level. both: its state with `ranks`, those of the next level's suffixes; bits: of a symbol, of a rank."""
 
     def keys_of(row: dict) -> tuple:
         t = Texts(row)
-        hi, lo, at, _ = t.merging(_sampled_ranks(t, row["ranks"]))
+        hi, lo, at, _ = t.merging(_sampled_ranks(t, row["ranks"]), bits)
         return hi, lo, at
 
     def records(batches):
         for batch in batches:
             for row in each_row(batch):
                 t = Texts(row)
-                hi, lo, _, zero = t.merging(_sampled_ranks(t, row["ranks"]))
+                hi, lo, _, zero = t.merging(_sampled_ranks(t, row["ranks"]), bits)
                 if len(hi):
                     order = order_of(hi, lo)
                     yield rows(_ROUTED, worker=[row["block"]], source=[row["block"]], data=[pack_columns(hi[order], lo[order], (order * 2 + zero[order]).astype(U), np.full(len(hi), row["block"]))])
@@ -261,7 +301,7 @@ def _merged(work: Shared, name: str, both: DataFrame, workers: int) -> DataFrame
     for r in sorted_.where("worker < 0").collect():  # four numbers a worker
         counts[-1 - r["worker"]] = unpack_columns(r["data"], 1)[0].astype(np.int64)
     base = np.cumsum(counts, 0) - counts
-    back = routed(sorted_.where("worker >= 0"), 4, lambda block, *_: block.astype(np.int64), workers)
+    back = routed(sorted_.where("worker >= 0"), 4, lambda block, *_: block.astype(np.int64), blocks)
 
     def ranked(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -269,7 +309,7 @@ def _merged(work: Shared, name: str, both: DataFrame, workers: int) -> DataFrame
         for row in each_row(left):
             t = Texts(row)
             sampled = _sampled_ranks(t, row["ranks"]).astype(np.int64)
-            _, _, at, zero = t.merging(sampled.astype(U))
+            _, _, at, zero = t.merging(sampled.astype(U), bits)
             second = record >= int((t.place % 3 < 2).sum())
             zeros, others = base[worker, np.where(second, 2, 0)], base[worker, np.where(second, 3, 1)]
             rank = np.where(t.place % 3 == 0, 1, sampled)
@@ -284,32 +324,39 @@ def _merged(work: Shared, name: str, both: DataFrame, workers: int) -> DataFrame
     return work.written(both.groupBy("block").cogroup(back.withColumnRenamed("worker", "block").groupBy("block")).applyInArrow(ranked, RANKS), f"{name}-ranks")
 
 
-def suffix_ranks(work: Shared, state: DataFrame, blocks: int) -> DataFrame:
-    """(block, ranks) of all suffixes of all texts of state, from 1, in the order of their symbols."""
+def _workers(records: int) -> int:
+    """Workers by what there is to sort, however many blocks send it; half of what a worker may own, as a merge has four records for three symbols."""
+    return worker_count(0, 2 * records)
+
+
+def suffix_ranks(work: Shared, state: DataFrame, blocks: int, most: int = (1 << 42) - 1) -> DataFrame:
+    """(block, ranks) of all suffixes of all texts of state, from 1, in the order of their symbols. most: no symbol is above it."""
     stack = []
+    symbols = state.agg(F.sum("n_symbols")).first()[0] or 0
     while True:
-        level, symbols = len(stack), state.agg(F.sum("n_symbols")).first()[0] or 0
+        level = len(stack)
         if symbols <= BASE:
             ranks = work.written(_in_one_task(state), f"ranks{level}")
             break
-        workers = worker_count(blocks, symbols)
-        keys_of = lambda row: Texts(row).triples()
-        answers = ask(work, f"down{level}", state, keys_of, workers, "all", ranges(state, keys_of, workers))
+        workers, bits = _workers(symbols), most.bit_length()
+        keys_of = lambda row, bits=bits: Texts(row).triples(bits)
+        answers = ask(work, f"down{level}", state, keys_of, workers, "all", ranges(state, keys_of, workers), blocks)
 
-        def onward(row: dict, place: np.ndarray, said: np.ndarray) -> dict:
+        def onward(row: dict, place: np.ndarray, said: np.ndarray, bits: int = bits) -> dict:
             t = Texts(row)
-            d = Distinct(*t.triples())
+            d = Distinct(*t.triples(bits))
             return _replaced(row, said_of(len(d.hi), place, said)[d.inverse].astype(U), t.sampled()[1])
 
-        stack.append((state, workers))
+        stack.append((state, workers, (bits, symbols.bit_length())))
         state = work.written(heard(state, answers, onward, _STATE, STATE), f"down{level}")
         work.dropped(f"down{level}-answers")
-        if answers.names == (state.agg(F.sum("n_symbols")).first()[0] or 0):
+        symbols, most = state.agg(F.sum("n_symbols")).first()[0] or 0, answers.names
+        if answers.names == symbols:
             ranks = state.select("block", F.col("symbols").alias("ranks"))
             break
     while stack:
-        state, workers = stack.pop()
-        ranks = _merged(work, f"up{len(stack)}", state.join(ranks.hint("merge"), "block"), workers)
+        state, workers, bits = stack.pop()
+        ranks = _merged(work, f"up{len(stack)}", state.join(ranks.hint("merge"), "block"), workers, blocks, bits)
         work.dropped(f"up{len(stack)}-sorted")
         work.dropped(f"down{len(stack)}")
     return ranks
@@ -329,30 +376,24 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     raw = work.written(token_blocks(docs, id_col, text_col), "raw")
     n_blocks, total = raw.agg(F.count("*"), F.sum("n_words")).first()
     blocks = numbered(raw)
-    workers = worker_count(n_blocks, (total or 0) * 2 // 3)
-
-    def first(row: dict) -> tuple:
-        d = Docs(row)
-        at, hi = _triples(d)
-        return hi, np.zeros(len(hi), U), d.doc[at]
+    # Random windows change their least fingerprint twice in as many places, and one, as they have windows.
+    workers = _workers((total or 0) * 2 // (_wide(min_words) + 1))
 
     def stay(row: dict, place: np.ndarray, said: np.ndarray) -> dict:
         d = Docs(row)
-        at, hi = _triples(d)
-        known = Distinct(hi, np.zeros(len(hi), U), d.doc[at])
-        shared = np.zeros(len(d.tokens), bool)
-        shared[at[said_of(len(known.hi), place, said)[known.inverse] > 0]] = True
-        return _texts(row, shared, min_words)
-
-    texts = work.written(heard(blocks, ask(work, "triples", blocks, first, workers, "shared"), stay, _STATE, STATE), "texts")
-    work.dropped("triples-answers")
+        return _texts(row, d, _staying(d, min_words, place, said), min_words)
+
+    texts = work.written(heard(blocks, ask(work, "least", blocks, lambda row: _least_keys(Docs(row), min_words), workers, "shared", blocks=n_blocks), stay, _STATE, STATE), "texts")
+    work.dropped("least-answers")
     work.dropped("raw")
-    copies = ask(work, "copies", texts, _copies, worker_count(n_blocks, 0), "keeper")
-    state = work.written(heard(texts, copies, _apart, {**_STATE, "whole": pa.binary()}, STATE + ", whole binary"), "apart")
-    work.dropped("copies-answers")
+    gathered, n_blocks = _gathered(work, texts)
     work.dropped("texts")
+    copies = ask(work, "copies", gathered, _copies, worker_count(n_blocks, 0), "keeper")
+    state = work.written(heard(gathered, copies, _apart, {**_STATE, "whole": pa.binary()}, STATE + ", whole binary"), "apart")
+    work.dropped("copies-answers")
+    work.dropped("gathered")
     most, total = state.agg(F.max("n_texts"), F.sum("n_symbols")).first()
-    workers, most = worker_count(n_blocks, total or 0), most or 0
+    workers, most = _workers(total or 0), most or 0
     ends = n_blocks * most
 
     def words_of(row: dict) -> tuple:
@@ -368,12 +409,13 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
         return _replaced(row, np.insert(word, np.cumsum(lengths), sign), lengths + 1)
 
     named_rows = state.drop("whole")
-    level0 = work.written(heard(named_rows, ask(work, "words", named_rows, words_of, workers, "all"), named, _STATE, STATE), "level0")
+    answers = ask(work, "words", named_rows, words_of, workers, "all", blocks=n_blocks)
+    level0 = work.written(heard(named_rows, answers, named, _STATE, STATE), "level0")
     work.dropped("words-answers")
-    ranks = suffix_ranks(work, level0, n_blocks)
+    ranks = suffix_ranks(work, level0, n_blocks, ends + answers.names)
     final = state.select("block", "texts", "lengths", "symbols", "whole").join(ranks.hint("merge"), "block")
     total = (total or 0) + (level0.agg(F.sum("n_texts")).first()[0] or 0)
-    passages = _neighbours(work, final, workers, total, min_words)
+    passages = _neighbours(work, final, _workers(total), n_blocks, total, min_words)
     return listed(passages)
 
 
@@ -390,7 +432,7 @@ def _starts(row: dict, length: int) -> tuple[np.ndarray, ...]:
     return ranks[at + text[at]], windows(word, length)[at] if len(at) else np.zeros(0, U), doc[text[at]], begin[text[at]] + place[at], several[text[at]]
 
 
-def _neighbours(work: Shared, final: DataFrame, workers: int, total: int, length: int) -> DataFrame:
+def _neighbours(work: Shared, final: DataFrame, workers: int, blocks: int, total: int, length: int) -> DataFrame:
     """(spans) of each block, packed: suffixes in their order, compared with their neighbours."""
     span = max(1, -(-(total + 1) // workers))
 
@@ -431,7 +473,7 @@ def _neighbours(work: Shared, final: DataFrame, workers: int, total: int, length
     known = np.zeros((workers, 4), bool)
     known[:, 1] = True
     _join_edges(edges, known)
-    back = routed(compared.where("worker >= 0"), 4, lambda block, *_: block.astype(np.int64), workers)
+    back = routed(compared.where("worker >= 0"), 4, lambda block, *_: block.astype(np.int64), blocks)
 
     def spans(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
