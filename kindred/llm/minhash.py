@@ -31,9 +31,10 @@ from .words import mix, windows, words
 COORDINATES, MATCHES, SHINGLE = 64, 32, 3
 _SIG = {"block": pa.int64(), "n_docs": pa.int64(), "doc_ids": pa.binary(), "signatures": pa.binary()}
 SIG = "block bigint, n_docs bigint, doc_ids binary, signatures binary"
-BLOCK_DOCS = 1 << 14
-#: Signatures that are packed or unpacked at once.
-PART = 1 << 14
+#: A block's keys are 64 times its documents, and a task that asks or posts holds a dozen numbers for each.
+BLOCK_DOCS = 1 << 13
+#: Signatures that a worker of posting lists is sent at most, as the hashes of keys spread them.
+POSTED = 1 << 17
 #: A posting list of more rows is cut by the lists within it.
 LONG = 256
 
@@ -174,6 +175,11 @@ def _compared(key: np.ndarray, doc: np.ndarray, sig: np.ndarray, matches: int, w
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, m))
 
 
+def posting_workers(blocks: int, docs: int, lists: int) -> int:
+    """Workers for posting lists: a document's signature may go to as many of them as it has lists, so they grow with both."""
+    return max(1, blocks, -(-docs * lists // POSTED))
+
+
 def _edges(work: Shared, docs: DataFrame, coordinates: int, matches: int, shingle: int, id_col: str, text_col: str, way: Callable[..., Found]) -> DataFrame:
     """(doc_a, doc_b, matches), doc_a < doc_b: what `way` finds in the lists; documents of one signature are linked to the first of them in their block."""
     if not 1 <= matches <= coordinates:
@@ -186,16 +192,16 @@ def _edges(work: Shared, docs: DataFrame, coordinates: int, matches: int, shingl
         for batch in batches:
             for lo in range(0, len(batch), 500):
                 part = batch.slice(lo, 500)
+                if held and held + len(part) > BLOCK_DOCS:
+                    yield block()
+                    number += 1
+                    ids, sigs, held = [], [], 0
+                    give_back()
                 w = words(part.column(1))
                 sig, has = signatures(w.hashes, w.first, coordinates, shingle)
                 ids.append(part.column(0).to_numpy(zero_copy_only=False)[has].astype(np.int64))
                 sigs.append(sig)
                 held += len(sig)
-                if held >= BLOCK_DOCS:
-                    yield block()
-                    number += 1
-                    ids, sigs, held = [], [], 0
-                    give_back()
         if held:
             yield block()
         ids, sigs = [], []
@@ -217,6 +223,7 @@ def _edges(work: Shared, docs: DataFrame, coordinates: int, matches: int, shingl
         return hi, np.zeros(len(hi), U), np.repeat(np.arange(len(lead), dtype=np.int32), coordinates)
 
     counts = ask(work, "counts", blocks, keys_of, workers, "count")
+    workers = posting_workers(n_blocks, total or 0, coordinates - matches + 1)
     owner = uniform(workers)
 
     def post(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -235,10 +242,12 @@ def _edges(work: Shared, docs: DataFrame, coordinates: int, matches: int, shingl
             out.append((0, row["block"], pack_columns(key, record)))
             need = np.unique(owner(key) * len(lead) + doc) if len(doc) else np.zeros(0, np.int64)
             del keys, count, key, record
-            for lo in range(0, len(need), PART):
-                to, doc = need[lo : lo + PART] // len(lead), need[lo : lo + PART] % len(lead)
-                halves = np.ascontiguousarray(np.pad(sig[doc], ((0, 0), (0, coordinates % 2)))).view(U)
-                out.append((1, row["block"], pack_columns(to, row["block"] << 32 | doc, ids[lead][doc], *halves.T)))
+            to, doc = need // max(1, len(lead)), need % max(1, len(lead))
+            cuts = np.flatnonzero(np.diff(to)) + 1
+            for lo, hi in zip(np.append(0, cuts), np.append(cuts, len(to))) if len(to) else ():
+                d = doc[lo:hi]
+                halves = np.ascontiguousarray(np.pad(sig[d], ((0, 0), (0, coordinates % 2)))).view(U)
+                out.append((1, int(to[lo]), pack_columns(to[lo:hi], row["block"] << 32 | d, ids[lead][d], *halves.T)))
         return pa.table({"kind": pa.array([k for k, _, _ in out], pa.int32()), "worker": pa.array([w for _, w, _ in out], pa.int64()), "source": pa.array([w for _, w, _ in out], pa.int64()), "data": pa.array([d for _, _, d in out], pa.binary())})
 
     asked = blocks.groupBy("block").cogroup(counts.table.withColumnRenamed("worker", "block").groupBy("block"))
@@ -271,7 +280,8 @@ def _edges(work: Shared, docs: DataFrame, coordinates: int, matches: int, shingl
 
     edge = "doc_a bigint, doc_b bigint, matches int"
     lists = routed(posted.where("kind = 0").select("worker", "source", "data"), 2, lambda key, *_: owner(key), workers)
-    needed = routed(posted.where("kind = 1").select("worker", "source", "data"), wide, lambda to, *_: to.astype(np.int64), workers)
+    # Signatures are wide and don't compress, so they go straight to their worker: a row for each block and worker, never more rows than signatures.
+    needed = posted.where("kind = 1").select("worker", "source", "data")
     met = lists.groupBy("worker").cogroup(needed.groupBy("worker")).applyInArrow(merge, edge)
     return met.union(posted.where("kind = 2").select("data").mapInArrow(linked, edge)).distinct()
 
